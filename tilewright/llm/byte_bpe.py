@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import process_cache
 
@@ -149,7 +150,7 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
                 columns = [*(part.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * with_ids, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.select(*keep, text_col).mapInArrow(run, ", ".join(fields))
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join(fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
