@@ -79,7 +79,8 @@ def _sum(items: Column, term) -> Column:
 
 
 def _cross(e: Column) -> Column:
-    return e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    d = lambda c: c.cast("double")
+    return d(e["a"]["x"]) * d(e["b"]["y"]) - d(e["b"]["x"]) * d(e["a"]["y"])
 
 
 def signed_area(points: Column) -> Column:
@@ -100,7 +101,8 @@ def centroid(points: Column) -> Column:
 def second_moments(points: Column) -> Column:
     """struct(m20, m02), raw, of the area taken as positive."""
     es = edges(points)
-    square = lambda axis: _sum(es, lambda e: (e["a"][axis] * e["a"][axis] + e["a"][axis] * e["b"][axis] + e["b"][axis] * e["b"][axis]) * _cross(e)) / 12
+    d = lambda c: c.cast("double")
+    square = lambda axis: _sum(es, lambda e: (d(e["a"][axis]) * d(e["a"][axis]) + d(e["a"][axis]) * d(e["b"][axis]) + d(e["b"][axis]) * d(e["b"][axis])) * _cross(e)) / 12
     sign = F.when(signed_area(points) < 0, -1.0).otherwise(1.0)
     return F.struct((square("x") * sign).alias("m20"), (square("y") * sign).alias("m02"))
 
@@ -121,9 +123,10 @@ def bounding_rect(points: Column) -> Column:
 
 
 def point_in_polygon(px: Column, py: Column, points: Column) -> Column:
-    """1 inside, 0 on a side, -1 outside. Exact for integers."""
+    """1 inside, 0 on a side, -1 outside. Exact for integers up to 2**26."""
     es = edges(points)
-    turn = lambda e: (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (px - e["a"]["x"])
+    wide = lambda c: c.cast("double")
+    turn = lambda e: (wide(e["b"]["x"]) - e["a"]["x"]) * (wide(py) - e["a"]["y"]) - (wide(e["b"]["y"]) - e["a"]["y"]) * (wide(px) - e["a"]["x"])
     on = F.exists(es, lambda e: (turn(e) == 0) & px.between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])) & py.between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"])))
     up = lambda e: (e["a"]["y"] <= py) & (e["b"]["y"] > py) & (turn(e) > 0)
     down = lambda e: (e["a"]["y"] > py) & (e["b"]["y"] <= py) & (turn(e) < 0)

@@ -10,8 +10,8 @@ def qc_grid(slides: DataFrame, stride: int, drop_last: bool = True) -> DataFrame
     """slide, x, y of every stride of slides (slide, width, height); drop_last leaves the last column and row out, as quality control does."""
     n = lambda size: F.ceil(F.col(size) / stride).cast("int") - (1 if drop_last else 0)
     ok = slides.where((n("width") > 0) & (n("height") > 0))
-    cols = ok.withColumn("x", F.explode(F.sequence(F.lit(0), n("width") - 1)) * stride)
-    return cols.withColumn("y", F.explode(F.sequence(F.lit(0), n("height") - 1)) * stride).select("slide", "x", "y")
+    rows = ok.withColumn("i", F.explode(F.sequence(F.lit(0), n("width") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), n("height") - 1)))
+    return rows.select("slide", (F.col("i") * stride).alias("x"), (F.col("j") * stride).alias("y"))
 
 
 def tile_grid(slides: DataFrame, tile: int, overlap: int = 0, seed: int | None = None) -> DataFrame:

@@ -93,10 +93,14 @@ def proximity(circles: DataFrame, within: float, cell: int = CELL) -> DataFrame:
     return near.where(gap < within).select("slide", F.col("id").alias("a"), "b")
 
 
-def nearest_far(near: DataFrame, far: DataFrame) -> DataFrame:
-    """For each near point (slide, id, x, y) the nearest far one of its slide: id, far, d; ties to the smaller id. The one-to-one form is in merging."""
-    pairs = near.alias("n").join(far.alias("f"), "slide").withColumn("d", g.distance(F.col("n.x"), F.col("n.y"), F.col("f.x"), F.col("f.y")))
-    return pairs.groupBy("slide", F.col("n.id").alias("id")).agg(F.min(F.struct("d", F.col("f.id").alias("far"))).alias("m")).select("slide", "id", "m.far", "m.d")
+def nearest_far(near: DataFrame, far: DataFrame, within: float) -> DataFrame:
+    """For each near point (slide, id, x, y) the nearest far one of its slide closer than within: slide, id, far, d; ties to the smaller id. Cells as wide as within, three by three of them."""
+    around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
+    cell = lambda k: F.floor(F.col(k) / within)
+    n = near.withColumns({"cx": cell("x"), "cy": cell("y")})
+    f = far.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select("slide", (cell("x") + F.col("_i")).alias("cx"), (cell("y") + F.col("_j")).alias("cy"), F.col("id").alias("far"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    pairs = n.join(f, ["slide", "cx", "cy"]).withColumn("d", g.distance(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))).where(F.col("d") < within)
+    return pairs.groupBy("slide", "id").agg(F.min(F.struct("d", "far")).alias("m")).select("slide", "id", "m.far", "m.d")
 
 
 def interval_label(values: DataFrame, intervals: DataFrame, strict: bool = False) -> DataFrame:

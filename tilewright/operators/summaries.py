@@ -40,7 +40,7 @@ def otsu(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def class_counts(splits: DataFrame) -> DataFrame:
     """fold, role, value, n, with zeros for values that a part lacks."""
-    parts, values = splits.select("fold", "role").distinct(), splits.select("value").distinct()
-    domain = parts.join(F.broadcast(values.agg(F.collect_set("value").alias("vs")))).select("fold", "role", F.explode("vs").alias("value"))
+    parts = splits.groupBy(F.lit(1).alias("_k")).agg(F.collect_set(F.struct("fold", "role")).alias("ps"), F.collect_set("value").alias("vs"))  # folds and classes are few
+    domain = parts.select(F.explode("ps").alias("p"), "vs").select("p.fold", "p.role", F.explode("vs").alias("value"))
     counts = splits.groupBy("fold", "role", "value").agg(F.count("*").alias("n"))
     return domain.join(counts, ["fold", "role", "value"], "left").select("fold", "role", "value", F.coalesce("n", F.lit(0)).alias("n"))
