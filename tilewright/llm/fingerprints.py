@@ -86,6 +86,31 @@ def difference(a: Column, b: Column, widths: tuple[int, ...] = WIDTHS) -> Column
     return let(got, lambda g: F.when(g["done"], g).otherwise(difference(a, b, tuple(rest)))) if rest else got
 
 
+def differing(a: Column, b: Column, shard: int = SHARD) -> Column:
+    """How many digests are in one of two arrays only: recovered shard by shard from sketches, so that no sketch grows with a text.
+
+    The shards' digests are picked in two steps (groups of shards, then shards), which takes about n * sqrt(n) looks for n digests.
+    """
+
+    def count(v: Column) -> Column:
+        got = let(difference(v["a"], v["b"]), lambda g: F.when(g["done"], F.size(g["found"])))
+        # beyond the widest sketch (odds below any that occur) the digests themselves are compared
+        return F.coalesce(got, F.size(F.array_except(v["a"], v["b"])) + F.size(F.array_except(v["b"], v["a"]))).cast("long")
+
+    def within(v: Column) -> Column:
+        of = lambda d: F.pmod(F.shiftrightunsigned(d, 40), v["s"])
+        pick = lambda u, test: F.struct(F.filter(u["a"], test).alias("a"), F.filter(u["b"], test).alias("b"))
+
+        def group(acc: Column, k: Column) -> Column:
+            part = let(pick(v, lambda d: of(d) % v["g"] == k), lambda u: F.aggregate(F.sequence(F.lit(0).cast("long"), F.floor((v["s"] - 1 - k) / v["g"]).cast("long")), F.lit(0).cast("long"), lambda acc, j: acc + let(pick(u, lambda d: of(d) == k + v["g"] * j), count)))
+            return acc + part
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), v["g"] - 1), F.lit(0).cast("long"), group)
+
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil((F.size(a) + F.size(b)) / shard).cast("long"))
+    return let(let(shards, lambda s: F.struct(a.alias("a"), b.alias("b"), s.alias("s"), F.ceil(F.sqrt(s.cast("double"))).cast("long").alias("g"))), within)
+
+
 def printed(cells: Column) -> Column:
     """A sketch as text: base64 of each cell's count (16 bits), digest (64) and check (32)."""
     cell = lambda c: F.concat(F.lpad(F.hex(F.pmod(c["n"], F.lit(65536))), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["x"]), 8, "0"))
@@ -126,38 +151,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the first, so a single document follows itself. A null text is empty: no units, and two texts without units have likeness 1. A null doc_id comes last.
     Rows equal in doc_id and text count as one in that order and all get its result; rows with equal doc_id and different texts are ordered by the texts' hash.
     """
-    base = docs.select("doc_id", text_of().alias("text")).withColumns({"h": F.xxhash64("text"), "n_chars": F.char_length("text").cast("long")})
-    order = followers(base.select("doc_id", "h", "n_chars"))
-    given = order.select(F.col("next.doc_id").alias("doc_id"), F.col("next.h").alias("h"), F.col("doc_id").alias("to_doc"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
-
-    sent = given.join(base.withColumnsRenamed({"doc_id": "_d", "h": "_h", "n_chars": "_n"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
+    base = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    order = followers(base.withColumn("n_chars", F.char_length("text").cast("long")).select("doc_id", "h", "n_chars"))
+    given = order.select(F.col("next.doc_id").alias("_d"), F.col("next.h").alias("_h"), F.col("doc_id").alias("to_doc"), F.col("h").alias("to_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
+    # both joins shuffle the same columns of the texts by the same keys, so that one exchange serves the two
+    sent = given.join(base, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")))
     sent = sent.select("to_doc", "to_h", F.expr("substring(text, 1, need)").alias("lent"), digests(F.col("text")).alias("next_ds"))
     first = Window.partitionBy("to_doc", "to_h").orderBy("to_doc", "to_h")
     sent = sent.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    both = base.join(sent, F.col("doc_id").eqNullSafe(F.col("to_doc")) & (F.col("h") == F.col("to_h")))
+    both = base.join(sent, F.col("doc_id").eqNullSafe(F.col("to_doc")) & (F.col("h") == F.col("to_h"))).withColumn("n_chars", F.char_length("text").cast("long"))
     kept = F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), lent)")
-    rows = both.select("doc_id", "h", "n_chars", kept.alias("edited"), digests(F.col("text")).alias("ds"), "next_ds")
-    rows = rows.select("doc_id", "h", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "ds", digests(F.col("edited")).alias("edited_ds"), "next_ds")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprint-digests")
-
-    # every version pair's digests by shard: the pairs' whole sketches, a shard at a time
-    pairs = rows.select("row", F.size("ds").alias("n"), F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("edited_ds").alias("other")), F.struct(F.lit(1).alias("pair"), F.col("next_ds").alias("other")))).alias("v"), "ds")
-    shards = F.greatest(F.lit(1), F.ceil((F.size("ds") + F.size("v.other")) / SHARD)).cast("long")
-    tagged = F.concat(F.transform("ds", lambda d: F.struct(d.alias("d"), F.lit(True).alias("a"))), F.transform("v.other", lambda d: F.struct(d.alias("d"), F.lit(False).alias("a"))))
-    units = pairs.select("row", F.col("v.pair").alias("pair"), shards.alias("shards"), F.explode(tagged).alias("u"))
-    parts = units.withColumn("shard", F.pmod(F.shiftrightunsigned("u.d", 40), F.col("shards"))).groupBy("row", "pair", "shard").agg(F.collect_list("u").alias("us"))
-    side = lambda a: F.transform(F.filter("us", lambda u: u["a"] == F.lit(a)), lambda u: u["d"])
-    parts = parts.select("row", "pair", side(True).alias("mine"), side(False).alias("other"))
-    found = parts.select("row", "pair", difference(F.col("mine"), F.col("other")).alias("g"), "mine", "other")
-    # beyond the widest sketch (odds below any that occur) the digests themselves are compared
-    n = F.when(F.col("g.done"), F.size("g.found")).otherwise(F.size(F.array_except("mine", "other")) + F.size(F.array_except("other", "mine")))
-    counts = found.select("row", "pair", n.alias("n")).groupBy("row").agg(F.sum(F.when(F.col("pair") == 0, F.col("n"))).alias("edited_differs"), F.sum(F.when(F.col("pair") == 1, F.col("n"))).alias("next_differs"))
-    out = rows.join(counts, "row", "left")
-    edited, follower = F.coalesce("edited_differs", F.lit(0)), F.coalesce("next_differs", F.lit(0))
-    return out.select(
+    rows = both.select("doc_id", "n_chars", kept.alias("edited"), digests(F.col("text")).alias("ds"), "next_ds")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "ds", digests(F.col("edited")).alias("edited_ds"), "next_ds")
+    rows = rows.withColumns({"edited_differs": differing(F.col("ds"), F.col("edited_ds")), "next_differs": differing(F.col("ds"), F.col("next_ds"))})
+    return rows.select(
         "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("ds")).alias("fingerprint"), fingerprint(F.col("edited_ds")).alias("edited_fingerprint"),
-        likeness(F.size("ds") + F.size("edited_ds"), edited).alias("near_edited"), likeness(F.size("ds") + F.size("next_ds"), follower).alias("near_next"),
-        edited.cast("long").alias("edited_differs"), follower.cast("long").alias("next_differs"),
+        likeness(F.size("ds") + F.size("edited_ds"), F.col("edited_differs")).alias("near_edited"), likeness(F.size("ds") + F.size("next_ds"), F.col("next_differs")).alias("near_next"),
+        "edited_differs", "next_differs",
     )
 
 
