@@ -15,7 +15,8 @@ from .common import checked_broadcast, let, stored, text_of
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-CHUNK = 1 << 14
+CHUNK = 1 << 13
+TASK_SLOTS = 1 << 18
 BUCKET_DOCS = 2048
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
@@ -91,17 +92,18 @@ def packed(sizes: DataFrame, sources: DataFrame, n_sources: int, n_docs: int, se
     return rows.withColumn("within", within).join(sums, ["src", "bucket"]).select("doc_id", "size", "src", "source_size", "target", (F.col("base") + F.col("within")).alias("start"))
 
 
-def mix_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+def mix_slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, tasks: int = 8) -> DataFrame:
     """Every slot of the mix: shard and place (where it lands in the output), src, block, words (block_words, fewer in a source's last block and in its last slot).
 
     A source's slots take round(target) words to the word: whole passes take each block once, and the last pass as many permuted blocks as it needs.
+    tasks: among how many the chunks of slots are dealt; their rows are few before they are exploded, so Spark can't tell by their bytes.
     """
     b = F.lit(block_words).cast("long")
     s = sources.where((F.col("source_size") > 0) & (F.col("target") > 0)).select("src", F.col("source_size").alias("n"), F.round("target").cast("long").alias("t"))
     s = s.withColumns({"full": F.floor(F.col("n") / b).cast("long"), "blocks": F.ceil(F.col("n") / b).cast("long"), "passes": F.floor(F.col("t") / F.col("n")).cast("long"), "rest": F.col("t") % F.col("n")})
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.ceil(F.col("rest") / b).cast("long")).where("slots > 0")
     s = s.withColumns({"first": F.sum("slots").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)) - F.col("slots"), "total": F.sum("slots").over(Window.partitionBy())})
-    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long")))).repartition("src", "chunk")
+    chunks = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK).cast("long")))).repartition(tasks, "src", "chunk")
     rows = chunks.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("slots"), (F.col("chunk") + 1) * CHUNK) - 1)))
     rows = rows.withColumns({"pass": F.floor(F.col("i") / F.col("blocks")).cast("long"), "j": F.col("i") % F.col("blocks")})
     block = F.when(F.col("j") < F.col("full"), permuted(F.col("j"), F.col("full"), F.lit(seed), F.col("src"), F.col("pass"))).otherwise(F.col("full"))
@@ -126,10 +128,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
     sizes = stored(document_sizes(docs), "mix-sizes")
     n_docs = sizes.count()
     sources = stored(source_targets(sizes, weights, most), "mix-sources")
-    n_sources = sources.count()
+    n_sources, n_words = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, n_words // block_words // TASK_SLOTS)
     rows = packed(sizes, sources, n_sources, n_docs, seed)
     b = F.lit(block_words).cast("long")
-    uses = mix_slots(sources, block_words, seed=seed).groupBy("src", "block").agg(F.count("*").alias("uses"), F.sum("words").alias("words"), F.min("words").alias("least"))
+    uses = mix_slots(sources, block_words, seed=seed, tasks=tasks).groupBy("src", "block").agg(F.count("*").alias("uses"), F.sum("words").alias("words"), F.min("words").alias("least"))
     touched = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / b).cast("long"))))
     lo = F.greatest(F.col("start") - F.col("block") * b, F.lit(0))
     hi = F.least(F.col("start") + F.col("size") - F.col("block") * b, b)
