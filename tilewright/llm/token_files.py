@@ -24,7 +24,7 @@ BLOCK = 1 << 19
 SEGMENT = 1 << 21
 EVERY = 128
 LOW = np.uint64(1 << 31)
-MEMO = 400_000
+MEMO = 1_000_000
 END_ID = 1
 
 
@@ -133,7 +133,9 @@ def decode_block(data: bytes, symbols: np.ndarray, freq: np.ndarray, part: int |
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The segment's bytes: header, documents, table, blocks."""
     symbols, freq = frequency_table(ids) if len(ids) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    dense = np.searchsorted(symbols, ids).astype(np.int64)
+    places = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
+    places[symbols] = np.arange(len(symbols))
+    dense = places[ids]
     cum = np.cumsum(freq) - freq
     table = pack_table(symbols, freq)
     named = np.array([x is not None for x in doc_ids], np.uint8)
