@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 #: Members of one chain; a larger bucket is salted into several.
 CHAIN = 256
@@ -18,12 +18,16 @@ def bucket_links(rows: DataFrame, near: int = 3) -> DataFrame:
     near + 1 members that is every pair; a larger one of any size gives near + 1 links a member, its chain cut by salt into parts
     that a task can hold. Links within a group only have to connect it, so its parts meet in the hub and in other buckets.
     """
-    stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("weight", "id")).alias("hub")).where("n > 1").select("key", "n", F.col("hub.id").alias("hub"))
-    joined = rows.join(stats, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN)))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    multi = stored(rows.join(shared.hint("shuffle_hash"), "key"), "bucket-members")
+    hubs = multi.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
+    joined = multi.join(hubs, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN)))
     w = Window.partitionBy("key", "salt").orderBy("id")
     others = F.array(F.when(F.col("hub") != F.col("id"), F.col("hub")), *[F.lag("id", i).over(w) for i in range(1, near + 1)])
     links = joined.select("id", others.alias("others")).select("id", F.explode(F.array_compact(F.array_distinct("others"))).alias("other"))
-    return links.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    out = links.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    out.members = multi  # the stored table that the links read; the caller may discard it when it has stored them
+    return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

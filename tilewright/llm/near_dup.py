@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import process_cache, release, stored, text_of
+from .common import discard, process_cache, release, stored, text_of
 from .links import bucket_links, components
 
 WORDS = 5
@@ -107,6 +107,8 @@ def containment_links(docs: DataFrame, sets: DataFrame, threshold: float = THRES
     need = jaccard_needed(threshold, F.least("na", "nb"), F.greatest("na", "nb"))
     # four standard errors below what the sizes ask for: such a signature speaks against the pair for all practical odds
     likely = stored(both.where(same >= need - 4 * F.sqrt(need * (1 - need) / HASHES)).select("a", "b", "na", "nb"), "near-candidates")
+    discard(candidates.members)
+    del candidates, both
     release(spark)
     wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "doc_id", "h"), "id")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text")).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
@@ -137,7 +139,10 @@ def containment_links(docs: DataFrame, sets: DataFrame, threshold: float = THRES
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int32())], names=["a", "b", "na", "nb", "shared"])
 
     found = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(verify, "a bigint, b bigint, na int, nb int, shared int")
-    return stored(found.where(F.col("shared") >= threshold * F.least("na", "nb")), "near-links")
+    links = stored(found.where(F.col("shared") >= threshold * F.least("na", "nb")), "near-links")
+    discard(likely)
+    discard(packed)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
