@@ -121,6 +121,24 @@ def test_lines(docs, none):
     assert by[9].text == "first line of some length\nlast line of some length" and by[9].n_lines == 3
 
 
+def test_lines_of_large_buckets(spark):
+    """Every copy is alike to the one original and to no other copy, and the original isn't its bucket's heaviest line."""
+    rng = np.random.default_rng(4)
+    word = lambda *at: hashlib.md5(repr(at).encode()).hexdigest()[:12]
+    places = []
+    while len(places) < 120:
+        p = set(rng.choice(40, 3, replace=False).tolist())
+        if all(len(p & q) <= 1 for q in places):
+            places.append(p)
+    lines = [" ".join(word(k) for k in range(40)), *[" ".join(word(i, k) if k in p else word(k) for k in range(40)) for i, p in enumerate(places)]]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    sets = [set(r.s) for r in frame.orderBy("doc_id").select(line_dedup.shingles(F.col("text")).alias("s")).collect()]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) >= 0.8 for s in sets[1:]) and max(like(s, t) for i, s in enumerate(sets[1:]) for t in sets[1 : i + 1]) < 0.8
+    # all but the copies that share no band with the original, about one in 200
+    assert line_dedup.dedup_lines(frame).where("kept_lines > 0").count() <= 3
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (10, 12), (7, 7)] + [(100 + i, 101 + i) for i in range(40)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}

@@ -1,4 +1,4 @@
-"""Candidate links from buckets without all pairs, and connected components by distributed union-find. DataFrame functions only."""
+"""Candidate links from buckets, first a few for each member and then all that are still apart, and connected components by distributed union-find. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -9,14 +9,17 @@ from .common import checkpointed, stored
 
 #: Members of one chain; a larger bucket is salted into several.
 CHAIN = 256
+#: Predecessors that a member is linked to.
+NEAR = 3
+#: Members of one block: blocks are compared in pairs, each pair in a task of its own.
+BLOCK = 1024
 
 
-def bucket_links(rows: DataFrame, near: int = 3) -> DataFrame:
+def bucket_links(rows: DataFrame, near: int = NEAR) -> DataFrame:
     """Links (a, b), a < b, between members of the same bucket. rows: key, id, weight, each (key, id) once.
 
-    A bucket's member is linked to its `near` predecessors by id (a hash, so they differ from bucket to bucket) and to its heaviest member. In a bucket of up to
-    near + 1 members that is every pair; a larger one of any size gives near + 1 links a member, its chain cut by salt into parts
-    that a task can hold. Links within a group only have to connect it, so its parts meet in the hub and in other buckets.
+    A bucket's member is linked to its `near` predecessors by id and to its heaviest member. In a bucket of up to near + 1 members that is every pair.
+    In a larger one it is a cheap beginning: `apart_pairs` has all the pairs that these links leave in different components.
     """
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     multi = stored(rows.join(shared.hint("shuffle_hash"), "key"), "bucket-members")
@@ -30,6 +33,33 @@ def bucket_links(rows: DataFrame, near: int = 3) -> DataFrame:
     return out
 
 
+def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all pairs of a bucket's members, to be joined by key, i and j. members: key, id, n (the bucket's size) and others, which are named r_... on the right.
+
+    A bucket is dealt into blocks of about BLOCK members; a pair of blocks i <= j meets once. Where i = j the caller keeps id < r_id.
+    """
+    parts = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = parts.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("parts") - 1))).drop("parts", "own", "n")
+    right = parts.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).drop("parts", "own", "n")
+    return left, right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in ("key", "i", "j")})
+
+
+def apart_pairs(members: DataFrame, roots: DataFrame, traits: DataFrame, possible, near: int = NEAR) -> DataFrame:
+    """All pairs (a, b), a < b, of members of one bucket that are in different components: none is left out but those that possible(row, prefix) rules out.
+
+    members: key, id, n, as stored by bucket_links; roots: node, root; traits: id and what `possible` looks at. Buckets of up to near + 1 members had
+    every pair before, and those within one component are settled. The pairs of a bucket are tried in blocks, and only possible ones leave the join.
+    """
+    big = members.where(F.col("n") > near + 1).select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    big = stored(big, "bucket-roots")
+    unsettled = big.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left, right = in_blocks(big.join(unsettled.hint("shuffle_hash"), "key").join(traits, "id"))
+    pairs = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("r_root")) & ((F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))) & possible("", "r_"))
+    out = pairs.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
+    out.rooted = big  # the stored table that the pairs read
+    return out
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node of its component. Alternating large and small stars.
 
