@@ -172,6 +172,18 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 8, 9, 10]
 
 
+def test_near_duplicates_of_large_buckets(spark):
+    """Short documents share a passage, and each is held by a longer one of its own: all their links are found and counted."""
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    short = [f"{own(i, 30)} {PASSAGE}" for i in range(150)]
+    long = [f"{t} {own(1000 + i, 180)}" for i, t in enumerate(short)]
+    got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(short + long)), "doc_id bigint, text string")).collect()}
+    assert sum(got[i].class_id == i + 150 for i in range(150)) >= 149
+    copies = [PASSAGE + f" tail{i}" for i in range(20)]
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(copies)), "doc_id bigint, text string")).collect()
+    assert {r.links for r in got} == {19}
+
+
 def test_bpe(docs, none):
     assert byte_bpe.encode_documents(none).count() == 0
     import tiktoken

@@ -1,25 +1,24 @@
 """Near-duplicate documents by a containment ensemble of MinHash indexes.
 
-A document is the set of its five-word shingles. Documents are partitioned by set size (powers of two). That a set of q shingles is contained by t in one of at most u
-means a Jaccard of t / (1 + u / q - t) or more, so each pair of partitions has a threshold and a banding of its own: partitions of alike size (0 or 1 apart) use bands of
-two values, those further apart bands of one. Candidates are checked by their signatures against the threshold of their exact sizes, and then by exact containment.
+A document is the set of its five-word shingles. That a set of q shingles is contained by t in one of u means a Jaccard of t / (1 + u / q - t) or more. Sets that share a
+value of the signature are candidates, and every pair of them is tried: by signatures against the Jaccard that their exact sizes ask for, and then by exact containment.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, process_cache, release, stored, text_of
-from .links import bucket_links, components
+from .links import components, in_blocks
 
 WORDS = 5
 THRESHOLD = 0.8
 HASHES = 48
-NEAR_BANDS = 24  # of two values each
 WORD = re.compile(r"\w+")
 MEMO = 500_000
 
@@ -89,24 +88,49 @@ def signatures(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, h bigint, g bigint, n int, sig array<int>")
 
 
-def band_keys(n: Column, sig: Column) -> Column:
-    """Keys of the ensemble: for alike sizes two-value bands tagged with the document's partition and the next, for others one-value bands without a tag."""
-    size = F.floor(F.log2(n.cast("double"))).cast("int")
-    pairs = [F.xxhash64(F.lit(2), size + tag, F.lit(i), sig[2 * i], sig[2 * i + 1]) for tag in (0, 1) for i in range(NEAR_BANDS)]
-    return F.array(*pairs, *[F.xxhash64(F.lit(1), F.lit(i), sig[i]) for i in range(HASHES)])
+def band_keys(sig: Column) -> Column:
+    """One key for each value of the signature. All pairs of a bucket are tried, so bands of more values could only find again what these find."""
+    return F.array(*[F.xxhash64(F.lit(1), F.lit(i), sig[i]) for i in range(HASHES)])
+
+
+def least_alike(threshold: float, q: Column, u: Column) -> Column:
+    """The share of equal signature values below which a pair isn't looked at: four standard errors below what the sizes ask for."""
+    need = jaccard_needed(threshold, F.least(q, u), F.greatest(q, u))
+    return need - 4 * F.sqrt(need * (1 - need) / HASHES)
+
+
+def nibbles(sig: Column) -> list[Column]:
+    """The signature's values by their low four bits, sixteen to a long."""
+    return [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(sig[16 * w + k].bitwiseAND(15).cast("long"), 4 * k) for k in range(16)]) for w in range(HASHES // 16)]
+
+
+def all_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Every pair (a, b), a < b, of sets that share a signature value, but for those that signatures rule out: equal low bits bound the equal values from above."""
+    rows = sets.where("n > 0").select(F.explode(band_keys(F.col("sig"))).alias("key"), "id")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    traits = sets.select("id", F.col("n").alias("size"), *[c.alias(f"w{i}") for i, c in enumerate(nibbles(F.col("sig")))])
+    members = stored(rows.join(shared.hint("shuffle_hash"), "key").join(traits, "id"), "near-members")
+    left, right = in_blocks(members)
+    unlike = F.lit(0)
+    for i in range(HASHES // 16):
+        x = F.col(f"w{i}").bitwiseXOR(F.col(f"r_w{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        unlike = unlike + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x1111111111111111))
+    pairs = left.join(right, ["key", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))) & ((HASHES - unlike) / HASHES >= least_alike(threshold, F.col("size"), F.col("r_size"))))
+    out = pairs.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
+    out.members = members  # the stored table that the pairs read
+    return out
 
 
 def containment_links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links between different shingle sets: a, b, na, nb, shared. sets: id, n, sig, weight, one row per set."""
     spark = docs.sparkSession
-    rows = sets.where("n > 0").select(F.explode(band_keys(F.col("n"), F.col("sig"))).alias("key"), "id", F.struct("n", "weight").alias("weight"))
-    candidates = bucket_links(rows)
+    candidates = all_pairs(sets, threshold)
     small = sets.select("id", "n", "sig")
     both = candidates.join(small.withColumnsRenamed({"id": "a", "n": "na", "sig": "sa"}), "a").join(small.withColumnsRenamed({"id": "b", "n": "nb", "sig": "sb"}), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / HASHES
-    need = jaccard_needed(threshold, F.least("na", "nb"), F.greatest("na", "nb"))
-    # four standard errors below what the sizes ask for: such a signature speaks against the pair for all practical odds
-    likely = stored(both.where(same >= need - 4 * F.sqrt(need * (1 - need) / HASHES)).select("a", "b", "na", "nb"), "near-candidates")
+    # a signature below this speaks against the pair for all practical odds
+    likely = stored(both.where(same >= least_alike(threshold, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "near-candidates")
     discard(candidates.members)
     del candidates, both
     release(spark)
