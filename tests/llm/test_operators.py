@@ -172,16 +172,77 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 8, 9, 10]
 
 
-def test_near_duplicates_of_large_buckets(spark):
-    """Short documents share a passage, and each is held by a longer one of its own: all their links are found and counted."""
-    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
-    short = [f"{own(i, 30)} {PASSAGE}" for i in range(150)]
-    long = [f"{t} {own(1000 + i, 180)}" for i, t in enumerate(short)]
-    got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(short + long)), "doc_id bigint, text string")).collect()}
-    assert sum(got[i].class_id == i + 150 for i in range(150)) >= 149
-    copies = [PASSAGE + f" tail{i}" for i in range(20)]
-    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(copies)), "doc_id bigint, text string")).collect()
-    assert {r.links for r in got} == {19}
+def test_near_duplicates_against_brute_force(spark):
+    """Sets held at 0.8 by sets of 4 to 100 times their size, alike sets, a shared passage: classes are those of a comparison of all pairs."""
+    rng = np.random.default_rng(1)
+    made = iter(range(1 << 30))
+    words = lambda n: [f"w{next(made)}" for _ in range(n)]
+    texts = []
+    for size in (12, 40, 200):
+        for ratio in (4, 20, 40, 100):
+            for _ in range(4):
+                a, b = words(size + 4), words(size * ratio)
+                edited = list(a)
+                for j in range(size // 25):  # each takes five shingles of `size`
+                    edited[3 + 9 * j] = f"z{next(made)}"
+                at = int(rng.integers(len(b)))
+                texts += [edited, b[:at] + a + b[at:]]
+    passage = words(80)
+    for _ in range(150):
+        a = passage + words(60)
+        texts += [a, a[:100] + ["zz"] + a[101:]]
+    for _ in range(40):  # alike to the first of them only
+        base = texts[-1]
+        texts.append([w if rng.random() > 0.004 else f"y{next(made)}" for w in base])
+    texts = [" ".join(t) for t in texts]
+    sets = [set(near_dup.shingle_hashes(t).tolist()) for t in texts]
+    got = {r.doc_id: r for r in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert {i: got[i].class_id for i in got} == brute_classes(sets)
+    assert all(got[i].kept == (got[i].class_id == i) for i in got)
+
+
+def brute_classes(sets, t=near_dup.THRESHOLD):
+    """The classes of near_duplicates for documents 0, 1, ... with these sets, all pairs compared."""
+    n = len(sets)
+    rank = [(len(s), -i) for i, s in enumerate(sets)]
+    where = {}
+    for i, s in enumerate(sets):
+        for v in s:
+            where.setdefault(v, []).append(i)
+    shared = {}
+    for i, s in enumerate(sets):
+        count = {}
+        for v in s:
+            for j in where[v]:
+                count[j] = count.get(j, 0) + 1
+        shared[i] = count
+    comp = list(range(n))
+
+    def find(x, up):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(n):
+        for j, k in shared[i].items():
+            if k >= t * (len(sets[i]) + len(sets[j]) - k):
+                comp[find(i, comp)] = find(j, comp)
+    comp = [find(i, comp) for i in range(n)]
+    head = {}
+    for i in range(n):
+        if comp[i] not in head or rank[i] > rank[head[comp[i]]]:
+            head[comp[i]] = i
+    tree = {c: c for c in head}
+    for c, h in head.items():
+        ways = [(k / len(sets[h]), rank[j], comp[j]) for j, k in shared[h].items() if comp[j] != c and k >= t * len(sets[h]) and rank[j] > rank[h]]
+        if ways:
+            tree[c] = max(ways)[2]
+    top = {}
+    for i in range(n):
+        r = find(comp[i], tree)
+        if r not in top or rank[i] > rank[top[r]]:
+            top[r] = i
+    return {i: top[find(comp[i], tree)] for i in range(n)}
 
 
 def test_bpe(docs, none):

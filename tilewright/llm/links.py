@@ -34,27 +34,37 @@ def bucket_links(rows: DataFrame, near: int = NEAR) -> DataFrame:
 
 
 def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of all pairs of a bucket's members, to be joined by key, i and j. members: key, id, n (the bucket's size) and others, which are named r_... on the right.
+    """Both sides of the pairs of a bucket's members, to be joined by key, i and j. members: key, id, n (the bucket's size) and others, which are named r_... on the right.
 
-    A bucket is dealt into blocks of about BLOCK members; a pair of blocks i <= j meets once. Where i = j the caller keeps id < r_id.
+    A bucket is dealt into blocks of about BLOCK members; a pair of blocks i <= j meets once. Where i = j the caller keeps id < r_id. If members have lead and leads (how many lead
+    in the bucket), the left side has only those that lead, and the caller keeps pairs of two that lead where id < r_id.
     """
-    parts = members.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = parts.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("parts") - 1))).drop("parts", "own", "n")
-    right = parts.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own"))).drop("parts", "own", "n")
+    own = lambda parts: F.pmod(F.xxhash64("id"), F.ceil(F.col(parts) / BLOCK).cast("int")).cast("int")
+    if "lead" in members.columns:
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.ceil(F.col(parts) / BLOCK).cast("int") - 1))
+        left = members.where("lead").withColumn("i", own("leads")).withColumn("j", every("n"))
+        right = members.withColumn("j", own("n")).withColumn("i", every("leads"))
+    else:
+        left = members.withColumn("i", own("n")).withColumn("j", F.explode(F.sequence("i", F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
+        right = members.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+    left, right = left.drop("n", "leads"), right.drop("n", "leads")
     return left, right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in ("key", "i", "j")})
 
 
 def apart_pairs(members: DataFrame, roots: DataFrame, traits: DataFrame, possible, near: int = NEAR) -> DataFrame:
-    """All pairs (a, b), a < b, of members of one bucket that are in different components: none is left out but those that possible(row, prefix) rules out.
+    """All pairs (a, b), a < b, of members of one bucket that are in different components: none is left out but those that possible(prefix, prefix) rules out.
 
-    members: key, id, n, as stored by bucket_links; roots: node, root; traits: id and what `possible` looks at. Buckets of up to near + 1 members had
+    members: key, id, n, as stored before, perhaps with lead and leads (then only pairs with one that leads count); roots: node, root; traits: id (and what
+    else they share with members) and what `possible` looks at. Buckets of up to near + 1 members had
     every pair before, and those within one component are settled. The pairs of a bucket are tried in blocks, and only possible ones leave the join.
     """
-    big = members.where(F.col("n") > near + 1).select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    columns = [c for c in members.columns if c in {"key", "id", "n", "lead", "leads", "q"}]
+    big = members.where(F.col("n") > near + 1).select(*columns).join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     big = stored(big, "bucket-roots")
     unsettled = big.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left, right = in_blocks(big.join(unsettled.hint("shuffle_hash"), "key").join(traits, "id"))
-    pairs = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("r_root")) & ((F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))) & possible("", "r_"))
+    left, right = in_blocks(big.join(unsettled.hint("shuffle_hash"), "key").join(traits, [c for c in traits.columns if c in columns]))
+    once = (~F.col("r_lead") if "lead" in columns else F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))
+    pairs = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("r_root")) & once & possible("", "r_"))
     out = pairs.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
     out.rooted = big  # the stored table that the pairs read
     return out

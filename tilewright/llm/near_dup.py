@@ -1,31 +1,61 @@
-"""Near-duplicate documents by a containment ensemble of MinHash indexes.
+"""Near-duplicate documents by a containment ensemble of MinHash samples.
 
-A document is the set of its five-word shingles. That a set of q shingles is contained by t in one of u means a Jaccard of t / (1 + u / q - t) or more. Sets that share a
-value of the signature are candidates, and every pair of them is tried: by signatures against the Jaccard that their exact sizes ask for, and then by exact containment.
+A document is the set of its five-word shingles, each a 64-bit hash. Sets are partitioned by size, into powers of two. The values below a partition's bound are a set's sample
+(SAMPLE to 2 * SAMPLE of them; all of a set of fewer than 2**FULL); as bounds only fall with size, a set's sample can be looked up in any larger set. A containment of t leaves a set
+of m sampled values at most `allowed` that the container lacks; the values that no other set has are such, and of the others so many of the rarest as the allowance still asks for
+are its keys: one of them at least is in every container. That is a banding of its own for each partition: its bound says how many values, its allowance how many bands.
+A Jaccard of t asks the same of sets of one partition or the next, and bounds the bits in which their samples' bitmaps may differ.
+
+Pairs that share a key and whose bitmaps allow it are held against each other by their whole sets.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, process_cache, release, stored, text_of
-from .links import components, in_blocks
+from .links import apart_pairs, components
 
 WORDS = 5
 THRESHOLD = 0.8
-HASHES = 48
+#: Least number of sampled values of a set, on average.
+SAMPLE = 12
+#: Sets of fewer than 2**FULL shingles are sampled whole.
+FULL = 6
+#: Bits of the filter that holds the keys of sets sampled whole. Its size is fixed (16 MB): more keys only let more values of larger sets through, none is lost.
+FILTER_BITS = 1 << 27
+#: Standard errors by which a sample may miss what its set promises.
+ERRORS = 3.3
+SMALL, LARGE = 4, 16  # longs of the two kinds of bitmaps
 WORD = re.compile(r"\w+")
 MEMO = 500_000
+#: Whole words between white space, each different one of which starts a shingle of its own (but for the last four).
+PLAIN_WORD = r"(?<=\s)[a-z0-9_]++(?=\s)"
+
+
+def jaccard_needed(threshold: float, q: int, u: int) -> float:
+    """The Jaccard of two sets of q and u (the larger) shingles if the smaller is contained by the threshold."""
+    return threshold * q / (q + u - threshold * q)
+
+
+def bound(p: int) -> float:
+    """The share of all hashes that the sample of a set of 2**p or more shingles takes."""
+    return 1.0 if p < FULL else min(1.0, SAMPLE / 2.0**p)
+
 
+def allowed(m, n, threshold: float = THRESHOLD, xp=np):
+    """Of m sampled values of a set of n, how many its container may lack: exact if all are sampled, else with ERRORS standard errors."""
+    whole = xp.floor(n * (1 - threshold) + 1e-9)
+    return xp.where(m >= n, whole, xp.floor(m * (1 - threshold) + ERRORS * xp.sqrt(m * (threshold * (1 - threshold)) * (1 - m / xp.maximum(n, 1))) + 0.5))
 
-def jaccard_needed(threshold: Column | float, q: Column, u: Column) -> Column:
-    """The Jaccard of two sets of q and u (the larger) if the smaller is contained by the threshold."""
-    return F.lit(threshold) * q / (q + u - F.lit(threshold) * q)
+
+def _allowed_column(m: Column, n: Column, threshold: float) -> Column:
+    whole = F.floor(n * F.lit(1 - threshold) + 1e-9)
+    return F.when(m >= n, whole).otherwise(F.floor(m * F.lit(1 - threshold) + ERRORS * F.sqrt(m * F.lit(threshold * (1 - threshold)) * (1 - m / n)) + 0.5)).cast("int")
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -40,7 +70,9 @@ def shingle_hashes(text: str) -> np.ndarray:
     for w in WORD.findall(text.lower()):
         h = memo.get(w)
         if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
+            h = xxhash.xxh64_intdigest(w)
+            if len(w) <= 64:
+                memo[w] = h
         out.append(h)
     words = np.array(out, np.uint64)
     if not len(words):
@@ -53,162 +85,345 @@ def shingle_hashes(text: str) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _multipliers() -> np.ndarray:
-    r = np.random.default_rng(5)
-    return r.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+def _below(s: np.ndarray, share: float) -> int:
+    """How many of the ascending values are below that share of all."""
+    return len(s) if share >= 1 else int(np.searchsorted(s, np.uint64(share * 2.0**64)))
+
+
+def _bitmap(s: np.ndarray, longs: int) -> np.ndarray:
+    """A bit for each value, by bits that neither the samples' bounds nor the filter look at."""
+    at = (s >> np.uint64(27)) & np.uint64(64 * longs - 1)
+    out = np.zeros(longs, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def _signed(s: np.ndarray) -> np.ndarray:
+    """As bigint in the same order."""
+    return (s ^ np.uint64(1 << 63)).view(np.int64)
+
+
+# -- samples -----------------------------------------------------------------------------------------------------------------
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), g (hash of its shingle set), n (its size), sig (HASHES least values). A null text is empty."""
+def whole_keys(s: np.ndarray, threshold: float) -> int:
+    """How many of the least values of a whole sample are its keys: one more than a container may lack."""
+    return int(allowed(len(s), len(s), threshold)) + 1
+
+
+def small_set_filter(docs: DataFrame, threshold: float) -> np.ndarray:
+    """FILTER_BITS bits with one for each key of a set of fewer than 2**FULL shingles. Words are combined on the executors; at most FILTER_BITS / 64 reach the driver."""
+    plain = F.size(F.array_distinct(F.regexp_extract_all(F.substring(F.lower("text"), 1, 1500), F.lit(PLAIN_WORD), F.lit(0))))
+    rows = docs.select(text_of().alias("text")).where(plain < (1 << FULL) + WORDS - 1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
+                s = shingle_hashes(text)
+                if 0 < len(s) < 1 << FULL:
+                    found.append(s[: whole_keys(s, threshold)])
+            at = np.unique(np.concatenate(found) & np.uint64(FILTER_BITS - 1))
+            words, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int32)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    got = rows.mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+SAMPLE_SCHEMA = "doc_id bigint, h bigint, g bigint, n int, p int, m int, near int, keys int, s1 int, vals array<bigint>, small array<bigint>, large binary"
+
+
+def samples(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """For each row of docs: doc_id, h (hash of the text), g (hash of its shingle set), n (its size), p (partition), and of its values those that others may look for.
+
+    vals has first the m sampled values; then, ascending, those that a smaller set's sample or the filter of small sets asks for; the first m + near are below the bound of
+    partition p - 1. keys: how many are keys in any case (sets sampled whole). small: bitmaps of the sample and of the values below the bound of p - 1 (s1 of them);
+    large: three bitmaps of the values below the bound that takes 2**FULL of 2**p, half of it and a quarter. A null text is empty.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(small_set_filter(docs, threshold))
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
-        a = _multipliers()[:, None]
-        shift = np.uint64(32)
+        bits = shipped.value
+        low = np.uint64(FILTER_BITS - 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                gs, ns, sigs = [], [], []
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                out = {k: [] for k in ("g", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large")}
                 for text in part.column(2).to_pylist():
                     s = shingle_hashes(text)
-                    gs.append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
-                    ns.append(len(s))
-                    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-                    for i in range(0, len(s), 4096):
-                        x = a * s[None, i : i + 4096]
-                        low = np.minimum(low, ((x ^ (x >> shift)) >> np.uint64(7)).astype(np.uint32).min(1))
-                    sigs.append(low.view(np.int32))
-                offsets = pa.array(np.arange(len(ns) + 1) * HASHES, pa.int32())
-                values = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gs, pa.int64()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "h", "g", "n", "sig"])
+                    n = len(s)
+                    p = max(0, n.bit_length() - 1)
+                    m, upper = _below(s, bound(p)), _below(s, bound(FULL))
+                    s1 = _below(s, bound(p - 1))
+                    if p >= FULL:
+                        rest = s[upper:]
+                        at = rest & low
+                        rest = rest[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+                        vals = np.concatenate([s[:upper], rest])
+                    else:
+                        vals = s
+                    out["g"].append(xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63))
+                    out["n"].append(n)
+                    out["p"].append(p)
+                    out["m"].append(m)
+                    out["near"].append((len(vals) if p <= FULL else s1) - m)
+                    out["keys"].append(whole_keys(s, threshold) if 0 < n and p < FULL else 0)
+                    out["s1"].append(s1)
+                    out["vals"].append(_signed(vals))
+                    out["small"] += [_bitmap(s[:m], SMALL), _bitmap(s[:s1], SMALL)]
+                    out["large"].append(np.concatenate([_bitmap(s[: _below(s, 2.0 ** (FULL - max(p, FULL) - i))], LARGE) for i in range(3)]).tobytes())
+                lengths = np.cumsum([0, *map(len, out["vals"])])
+                arrays = [part.column(0), part.column(1), pa.array(out["g"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("n", "p", "m", "near", "keys", "s1"))]
+                arrays += [pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out["vals"]), pa.int64()))]
+                arrays += [pa.ListArray.from_arrays(pa.array(np.arange(len(out["n"]) + 1) * 2 * SMALL, pa.int32()), pa.array(np.concatenate(out["small"]).view(np.int64), pa.int64())), pa.array(out["large"], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, h bigint, g bigint, n int, sig array<int>")
+    return rows.mapInArrow(run, SAMPLE_SCHEMA)
 
 
-def band_keys(sig: Column) -> Column:
-    """One key for each value of the signature. All pairs of a bucket are tried, so bands of more values could only find again what these find."""
-    return F.array(*[F.xxhash64(F.lit(1), F.lit(i), sig[i]) for i in range(HASHES)])
+# -- candidates --------------------------------------------------------------------------------------------------------------
 
 
-def least_alike(threshold: float, q: Column, u: Column) -> Column:
-    """The share of equal signature values below which a pair isn't looked at: four standard errors below what the sizes ask for."""
-    need = jaccard_needed(threshold, F.least(q, u), F.greatest(q, u))
-    return need - 4 * F.sqrt(need * (1 - need) / HASHES)
+def shared_values(sets: DataFrame, threshold: float) -> DataFrame:
+    """v, id, p, own, near, low and lead for every value that two sets or more have been asked for: lead marks the keys of id.
 
+    own: v is in id's sample; near: below the bound of p - 1; low: id is small enough to be alike to a set of partition p - 1.
+    """
+    flags = F.when(F.col("pos") < F.col("m"), 1).otherwise(0) + F.when(F.col("pos") < F.col("m") + F.col("near"), 2).otherwise(0) + F.when(F.col("pos") < F.col("keys"), 4).otherwise(0)
+    flags = flags + F.when(F.col("n") * threshold <= F.pow(F.lit(2.0), F.col("p")), 8).otherwise(0) + F.col("p") * 16
+    values = sets.where("n > 0").select("id", "n", "p", "m", "near", "keys", F.posexplode("vals").alias("pos", "v")).select("v", "id", flags.cast("int").alias("flags"))
+    often = values.groupBy("v").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    has = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    rows = stored(values.join(often.hint("shuffle_hash"), "v").select("v", "id", "df", F.floor(F.col("flags") / 16).cast("int").alias("p"), has(1).alias("own"), has(2).alias("near"), has(4).alias("key"), has(8).alias("low")), "near-values")
+    # of a set that isn't sampled whole: the rarest values, one more than the allowance leaves after those that no other set has
+    rare = rows.where(F.col("own") & (F.col("p") >= FULL)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("mine")).join(sets.select("id", "n", "m"), "id")
+    left = _allowed_column(F.col("m"), F.col("n"), threshold) - (F.col("m") - F.size("mine")) + 1
+    rare = rare.where(left > 0).select("id", F.explode(F.slice("mine", F.lit(1), left)).alias("x")).select("id", F.col("x.v").alias("v"))
+    keys = rare.unionByName(rows.where("key").select("id", "v")).withColumn("lead", F.lit(True))
+    out = stored(rows.drop("key").join(keys, ["v", "id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "near-index")
+    discard(rows)
+    return out
 
-def nibbles(sig: Column) -> list[Column]:
-    """The signature's values by their low four bits, sixteen to a long."""
-    return [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(sig[16 * w + k].bitwiseAND(15).cast("long"), 4 * k) for k in range(16)]) for w in range(HASHES // 16)]
 
+def alike_buckets(index: DataFrame) -> DataFrame:
+    """key, q, id, lead, n, leads, hub: the sets of partition q, and those of the next that may be alike to them, by shared value; each bucket has a set of which it is a key."""
+    qs = F.array_compact(F.array(F.when(F.col("own"), F.col("p")), F.when(F.col("low") & F.col("near") & (F.col("p") > 0), F.col("p") - 1)))
+    rows = index.select("v", "id", "p", "lead", F.explode(qs).alias("q")).select(F.xxhash64("v", "q").alias("key"), "q", "id", (F.col("lead") & (F.col("p") == F.col("q"))).alias("lead"))
+    of = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("lead").alias("leads"), F.max(F.struct("lead", "id")).alias("hub")).where("n > 1 AND leads > 0")
+    return stored(rows.join(of.select("key", "n", "leads", F.col("hub.id").alias("hub")).hint("shuffle_hash"), "key"), "near-buckets")
 
-def all_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Every pair (a, b), a < b, of sets that share a signature value, but for those that signatures rule out: equal low bits bound the equal values from above."""
-    rows = sets.where("n > 0").select(F.explode(band_keys(F.col("sig"))).alias("key"), "id")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    traits = sets.select("id", F.col("n").alias("size"), *[c.alias(f"w{i}") for i, c in enumerate(nibbles(F.col("sig")))])
-    members = stored(rows.join(shared.hint("shuffle_hash"), "key").join(traits, "id"), "near-members")
-    left, right = in_blocks(members)
-    unlike = F.lit(0)
-    for i in range(HASHES // 16):
-        x = F.col(f"w{i}").bitwiseXOR(F.col(f"r_w{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        unlike = unlike + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x1111111111111111))
-    pairs = left.join(right, ["key", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))) & ((HASHES - unlike) / HASHES >= least_alike(threshold, F.col("size"), F.col("r_size"))))
-    out = pairs.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
-    out.members = members  # the stored table that the pairs read
-    return out
 
+def alike_possible(threshold: float):
+    """Of two rows of a bucket: whether their bitmaps' difference allows a Jaccard of threshold. Samples get ERRORS standard errors, whole sets none."""
 
-def containment_links(docs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links between different shingle sets: a, b, na, nb, shared. sets: id, n, sig, weight, one row per set."""
-    spark = docs.sparkSession
-    candidates = all_pairs(sets, threshold)
-    small = sets.select("id", "n", "sig")
-    both = candidates.join(small.withColumnsRenamed({"id": "a", "n": "na", "sig": "sa"}), "a").join(small.withColumnsRenamed({"id": "b", "n": "nb", "sig": "sb"}), "b")
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) / HASHES
-    # a signature below this speaks against the pair for all practical odds
-    likely = stored(both.where(same >= least_alike(threshold, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb"), "near-candidates")
-    discard(candidates.members)
-    del candidates, both
-    release(spark)
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "doc_id", "h"), "id")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text")).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
-    texts = own.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h"))).select("id", "text")
+    def test(left: str, right: str) -> Column:
+        a, b = F.col(f"{left}s"), F.col(f"{right}s")
+        differ = F.lit(0)
+        for w in range(SMALL):
+            differ = differ + F.bit_count(F.col(f"{left}b{w}").bitwiseXOR(F.col(f"{right}b{w}")))
+        of = (a + b) / (1 + threshold)  # the union of sets of that Jaccard
+        slack = F.when(F.col("q") >= FULL, ERRORS * F.sqrt(of * (threshold * (1 - threshold))) + 1).otherwise(1e-9)
+        return differ <= of * (1 - threshold) + slack
 
-    def pack(batches):
-        import pyarrow as pa
+    return test
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t).astype(np.uint32)).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "s"])
 
-    packed = stored(texts.mapInArrow(pack, "id bigint, s binary").dropDuplicates(["id"]), "near-sets")
-    release(spark)
-    pairs = likely.join(packed.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(packed.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+def small_traits(sets: DataFrame) -> DataFrame:
+    """id, q, s and b0 to b3: a row for the set's own partition and one for that below it."""
+    each = F.array(*[F.struct((F.col("p") - i).alias("q"), F.col("s1" if i else "m").alias("s"), *[F.col("small")[SMALL * i + w].alias(f"b{w}") for w in range(SMALL)]) for i in range(2)])
+    return sets.where("n > 0").select("id", F.explode(each).alias("x")).select("id", "x.*")
+
 
-    def verify(batches):
+def likely(pairs: DataFrame, sets: DataFrame, threshold: float, contained: bool) -> DataFrame:
+    """The pairs (a, b) that the large bitmaps allow to be contained (a in b, or the smaller in the larger) or to be alike by the threshold."""
+    traits = sets.select("id", "n", "large")
+    both = pairs.join(traits.withColumnsRenamed({"id": "a", "n": "na", "large": "la"}), "a").join(traits.withColumnsRenamed({"id": "b", "n": "nb", "large": "lb"}), "b")
+    both = both.where(F.col("nb") >= F.col("na")) if contained else both.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            shared = []
-            for x, y in zip(batch.column(4), batch.column(5), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                a, b = (a, b) if len(a) <= len(b) else (b, a)
-                at = np.searchsorted(b, a)
-                shared.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(shared, pa.int32())], names=["a", "b", "na", "nb", "shared"])
-
-    found = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(verify, "a bigint, b bigint, na int, nb int, shared int")
-    links = stored(found.where(F.col("shared") >= threshold * F.least("na", "nb")), "near-links")
-    discard(likely)
-    discard(packed)
-    return links
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            la, lb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u8").reshape(-1, 3, LARGE) for i in (4, 5))
+            swap = na > nb
+            na, nb = np.minimum(na, nb), np.maximum(na, nb)
+            la, lb = np.where(swap[:, None, None], lb, la), np.where(swap[:, None, None], la, lb)
+            pa_, pb = (np.maximum(np.frexp(n)[1] - 1, FULL) for n in (na, nb))
+            gap = pb - pa_
+            mine = la[np.arange(len(la)), np.minimum(gap, 2)]
+            lacks = np.bitwise_count(mine & ~lb[:, 0]).sum(1)
+            share = 2.0 ** np.minimum(0, FULL - pb)  # of the smaller set's values, that many are below the larger one's bound
+            need = threshold if contained else 2 * threshold / (1 + threshold)
+            whole = np.floor(na * (1 - need) + 1e-9)
+            some = np.floor(na * share * (1 - need) + ERRORS * np.sqrt(na * share * (1 - need) * (1 - share)) + 0.5)
+            ok = (gap > 2) | (lacks <= np.where(share >= 1, whole, some))
+            yield batch.select([0, 1]).filter(pa.array(ok))
+
+    return both.select("a", "b", "na", "nb", "la", "lb").mapInArrow(run, "a bigint, b bigint")
+
+
+class Sets:
+    """The whole shingle sets of those documents that a pair has asked for, packed from the texts once, as tables in the shared folder."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.docs, self.nodes, self.tables = docs, nodes, []
+
+    def add(self, pairs: DataFrame) -> None:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if self.tables:
+            wanted = wanted.join(self.all().select("id"), "id", "left_anti")
+        wanted = wanted.join(self.nodes.select("id", "doc_id", "h"), "id").withColumnsRenamed({"doc_id": "own_id", "h": "own_h"})
+        texts = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("id", "text")
+
+        def pack(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 128):
+                    part = batch.slice(at, 128)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+
+        self.tables.append(stored(texts.mapInArrow(pack, "id bigint, s binary").dropDuplicates(["id"]), "near-sets"))
+
+    def all(self) -> DataFrame:
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """a, b, na, nb, shared: exact sizes of the two sets and of what they share."""
+        self.add(pairs)
+        sets = self.all()
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    na, nb, shared = [], [], []
+                    for x, y in zip(part.column(2), part.column(3), strict=True):
+                        a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                        na.append(len(a))
+                        nb.append(len(b))
+                        a, b = (a, b) if len(a) <= len(b) else (b, a)
+                        place = np.searchsorted(b, a)
+                        shared.append(int((b[np.minimum(place, len(b) - 1)] == a).sum()) if len(b) else 0)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int32()) for x in (na, nb, shared))], names=["a", "b", "na", "nb", "shared"])
+
+        both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na int, nb int, shared int")
+
+    def drop(self) -> None:
+        for t in self.tables:
+            discard(t)
+
+
+# -- classes -----------------------------------------------------------------------------------------------------------------
+
+
+def alike_roots(sets: DataFrame, index: DataFrame, whole: Sets, threshold: float) -> DataFrame:
+    """(node, root): components of all verified links of Jaccard `threshold` or more between sets that share a key."""
+    spark = sets.sparkSession
+    buckets = alike_buckets(index)
+    star = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    near = F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))
+    first = stored(likely(star, sets, threshold, False), "near-likely")
+    release(spark)
+    roots = stored(components(stored(whole.verified(first).where(near).select("a", "b"), "near-links")), "near-roots")
+    release(spark)
+    apart = apart_pairs(buckets, roots, small_traits(sets), alike_possible(threshold), near=1)
+    more = stored(likely(apart, sets, threshold, False), "near-apart")
+    discard(apart.rooted)
+    discard(buckets)
+    discard(first)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joined = whole.verified(more).where(near).join(root("a"), "a", "left").join(root("b"), "b", "left")
+    joined = stored(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "near-joins")
+    discard(more)
+    top = components(joined)
+    named = roots.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).distinct()
+    out = named.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return stored(out.select("node", F.coalesce("top", "root").alias("root")), "near-tops")
+
+
+def containers(sets: DataFrame, index: DataFrame, named: DataFrame, heads: DataFrame, whole: Sets, threshold: float) -> DataFrame:
+    """a, b, na, nb, shared: every head a that is contained by `threshold` in a set b of another component. named: id, comp, rank; heads: comp, x."""
+    comp = named.select("id", "comp")
+    keys = index.where("lead").select("v", F.col("id").alias("a"), F.col("p").alias("pa")).join(heads.select(F.col("x").alias("a"), F.col("comp").alias("ca")), "a")
+    others = index.select("v", F.col("id").alias("b"), F.col("p").alias("pb")).join(keys.select("v").distinct(), "v", "left_semi").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    pairs = keys.join(others, "v").where((F.col("pb") >= F.col("pa")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
+    found = stored(likely(pairs, sets, threshold, True), "near-containers")
+    release(sets.sparkSession)
+    out = stored(whole.verified(found).where((F.col("nb") >= F.col("na")) & (F.col("shared") >= threshold * F.col("na"))), "near-contained")
+    discard(found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, h, class_id, kept, n_shingles, links for every row of docs.
+    """doc_id, h, class_id, kept, n_shingles for every row of docs.
 
     Documents of Jaccard `threshold` or more are joined into components. A component whose largest member is contained by `threshold` in a document of another one joins that one (the
     best container; never two containers through something small that both hold). class_id is the doc_id of the class's largest set, ties to
-    the smaller doc_id, null ids last; that row is kept. links counts the verified links of the row's shingle set to different sets.
-    Equal sets, so all texts without words too, are one node and always of one class. Rows equal in doc_id and text are both kept or both not;
-    `without_near_duplicates` returns one of them. A text shorter than five words is a single shingle.
+    the smaller doc_id, null ids last; that row is kept. Equal sets, so all texts without words too, are one node and always of one class. Rows equal in
+    doc_id and text are both kept or both not; `without_near_duplicates` returns one of them. A null or empty text has no shingle; a text shorter than five words is a single
+    one; a very long text is a larger set, packed as eight bytes a shingle. No rows give no rows. Only doc_id and text are read, so other columns' names can't clash.
+
+    No group's pairs are all emitted: a bucket's sets are first held against one of them, and only those that are still in different components against each other, in blocks, by bitmaps.
     """
-    rows = stored(signatures(docs), "near-signatures")
-    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("weight"))
-    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "sig", "weight"), "near-nodes")
-    links = containment_links(docs, sets, threshold)
-    strong = links.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
-    order = lambda: F.struct("n", (-F.coalesce("doc_id", F.lit((1 << 62)))).alias("o"), F.col("id").alias("node"))
-    named = sets.select("id", "doc_id", "n").join(components(strong).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).withColumn("rank", order())
+    rows = stored(samples(docs, threshold), "near-samples")
+    slim = stored(rows.select("doc_id", "h", "g", "n"), "near-rows")
+    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "p", "m", "near", "keys", "s1", "vals", "small", "large")])
+    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large"), "near-nodes")
+    discard(rows)
+    release(docs.sparkSession)
+    index = shared_values(sets, threshold)
+    release(docs.sparkSession)
+    whole = Sets(docs, sets)
+    roots = alike_roots(sets, index, whole, threshold)
+    order = F.struct("n", (-F.coalesce("doc_id", F.lit(1 << 62))).alias("o"), F.col("id").alias("node"))
+    named = sets.select("id", "doc_id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).withColumn("rank", order)
     named = stored(named.select("id", "comp", "rank"), "near-components")
     heads = named.groupBy("comp").agg(F.max("rank").alias("rank")).select("comp", F.col("rank.node").alias("x"))
-    ways = links.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("na").alias("nx"), "shared").unionByName(links.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("nb").alias("nx"), "shared"))
-    up = ways.where(F.col("shared") >= threshold * F.col("nx")).join(heads, "x")
-    up = up.join(named.select(F.col("id").alias("x"), F.col("rank").alias("rx")), "x").join(named.select(F.col("id").alias("y"), F.col("comp").alias("to"), F.col("rank").alias("ry")), "y")
-    up = up.where((F.col("to") != F.col("comp")) & (F.col("ry") > F.col("rx"))).groupBy("comp").agg(F.max_by("to", F.struct(F.col("shared") / F.col("nx"), "ry")).alias("to"))
+    links = containers(sets, index, named, heads, whole, threshold)
+    whole.drop()
+    discard(index)
+    up = links.join(named.select(F.col("id").alias("a"), "comp", F.col("rank").alias("ra")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("to"), F.col("rank").alias("rb")), "b")
+    up = up.where((F.col("to") != F.col("comp")) & (F.col("rb") > F.col("ra"))).groupBy("comp").agg(F.max_by("to", F.struct(F.col("shared") / F.col("na"), "rb")).alias("to"))
     trees = components(up.select(F.col("comp").alias("a"), F.col("to").alias("b")))
     classed = named.join(trees.select(F.col("node").alias("comp"), F.col("root").alias("tree")), "comp", "left").withColumn("tree", F.coalesce("tree", "comp"))
     tops = classed.groupBy("tree").agg(F.max("rank").alias("top")).select("tree", F.col("top.node").alias("top"))
     tops = tops.join(sets.select(F.col("id").alias("top"), F.col("doc_id").alias("class_id"), F.col("h").alias("class_h")), "top")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    nodes = stored(classed.join(tops, "tree").join(degree, "id", "left").select(F.col("id").alias("g"), "class_id", "class_h", F.coalesce("links", F.lit(0)).alias("links")), "near-classes")
+    nodes = stored(classed.join(tops, "tree").select(F.col("id").alias("g"), "class_id", "class_h"), "near-classes")
+    discard(sets)
+    discard(links)
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
-    return rows.select("doc_id", "h", "g", "n").join(nodes, "g").select("doc_id", "h", "class_id", kept.alias("kept"), F.col("n").alias("n_shingles"), "links")
+    return slim.join(nodes, "g").select("doc_id", "h", "class_id", kept.alias("kept"), F.col("n").alias("n_shingles"))
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that are kept, one for each class, with the columns of docs."""
-    kept = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    own = docs.withColumn("_own", F.xxhash64(text_of()))
-    out = own.join(kept, own["doc_id"].cast("long").eqNullSafe(kept["_d"]) & (F.col("_own") == F.col("_h")))
-    return out.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    """The rows of docs that are kept, one for each class, with the columns of docs, whatever their names."""
+    kept = near_duplicates(docs, threshold).where("kept").select("doc_id", "h").distinct()
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(text_of()).alias("own_h"))
+    out = own.join(kept, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_h") == F.col("h")))
+    return out.dropDuplicates(["own_id", "own_h"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select("doc_id", "class_id", "kept", "n_shingles", "links")
+    return near_duplicates(docs).select("doc_id", "class_id", "kept", "n_shingles")
