@@ -1,36 +1,25 @@
-"""Candidate links from buckets, first a few for each member and then all that are still apart, and connected components by distributed union-find. DataFrame functions only."""
+"""Candidate links from buckets, first one for each member and then all that are still apart, and connected components by distributed union-find. DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, discard, stored
 
-#: Members of one chain; a larger bucket is salted into several.
-CHAIN = 256
-#: Predecessors that a member is linked to.
-NEAR = 3
 #: Members of one block: blocks are compared in pairs, each pair in a task of its own.
 BLOCK = 1024
 
 
-def bucket_links(rows: DataFrame, near: int = NEAR) -> DataFrame:
-    """Links (a, b), a < b, between members of the same bucket. rows: key, id, weight, each (key, id) once.
+def star_buckets(rows: DataFrame, order=("weight", "id")) -> DataFrame:
+    """The rows (key, id, ...) whose key others have too, with n (the bucket's size) and hub (its last member by order), stored in the shared folder."""
+    of = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct(*order))["id"].alias("hub")).where("n > 1")
+    return stored(rows.drop(*[c for c in order if c != "id"]).join(of.hint("shuffle_hash"), "key"), "star-buckets")
 
-    A bucket's member is linked to its `near` predecessors by id and to its heaviest member. In a bucket of up to near + 1 members that is every pair.
-    In a larger one it is a cheap beginning: `apart_pairs` has all the pairs that these links leave in different components.
-    """
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    multi = stored(rows.join(shared.hint("shuffle_hash"), "key"), "bucket-members")
-    hubs = multi.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("hub")).select("key", F.col("hub.id").alias("hub"))
-    joined = multi.join(hubs, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN)))
-    w = Window.partitionBy("key", "salt").orderBy("id")
-    others = F.array(F.when(F.col("hub") != F.col("id"), F.col("hub")), *[F.lag("id", i).over(w) for i in range(1, near + 1)])
-    links = joined.select("id", others.alias("others")).select("id", F.explode(F.array_compact(F.array_distinct("others"))).alias("other"))
-    out = links.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    out.members = multi  # the stored table that the links read; the caller may discard it when it has stored them
-    return out
+
+def star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b), a < b, of each bucket's hub and each other member: a cheap beginning, `apart_pairs` has what it leaves in different components."""
+    return buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
 def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,10 +37,10 @@ def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = members.withColumn("i", own("n")).withColumn("j", F.explode(F.sequence("i", F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
         right = members.withColumn("j", own("n")).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
     left, right = left.drop("n", "leads"), right.drop("n", "leads")
-    return left, right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in ("key", "i", "j")})
+    return left, right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in ("key", "q", "i", "j")})
 
 
-def apart_pairs(members: DataFrame, roots: DataFrame, traits: DataFrame, possible, near: int = NEAR) -> DataFrame:
+def apart_pairs(members: DataFrame, roots: DataFrame, traits: DataFrame, possible, near: int = 1) -> DataFrame:
     """All pairs (a, b), a < b, of members of one bucket that are in different components: none is left out but those that possible(prefix, prefix) rules out.
 
     members: key, id, n, as stored before, perhaps with lead and leads (then only pairs with one that leads count); roots: node, root; traits: id (and what
@@ -64,12 +53,25 @@ def apart_pairs(members: DataFrame, roots: DataFrame, traits: DataFrame, possibl
     unsettled = big.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left, right = in_blocks(big.join(unsettled.hint("shuffle_hash"), "key").join(traits, [c for c in traits.columns if c in columns]))
     once = (~F.col("r_lead") if "lead" in columns else F.col("i") < F.col("j")) | (F.col("id") < F.col("r_id"))
-    pairs = left.join(right, ["key", "i", "j"]).where((F.col("root") != F.col("r_root")) & once & possible("", "r_"))
+    pairs = left.join(right, [c for c in ("key", "q", "i", "j") if c in left.columns]).where((F.col("root") != F.col("r_root")) & once & possible("", "r_"))
     out = pairs.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct()
     out.rooted = big  # the stored table that the pairs read
     return out
 
 
+def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components that roots and further links (a, b) make together. A link joins whole components, so that one for each two of them is enough."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    joined = links.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    joined = stored(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "joins")
+    top = components(joined)
+    named = roots.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).distinct()
+    out = named.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    out = stored(out.select("node", F.coalesce("top", "root").alias("root")), "merged-roots")
+    discard(joined)
+    return out
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node of its component. Alternating large and small stars.
 

@@ -11,28 +11,24 @@ Pairs that share a key and whose bitmaps allow it are held against each other by
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, process_cache, release, stored, text_of
-from .links import apart_pairs, components
+from .common import discard, release, stored, text_of
+from .links import apart_pairs, components, merged_roots, star_pairs
+from .sketches import ERRORS, FULL, SAMPLE, SMALL, alike_buckets, alike_possible, rare_keys, shared_values, small_traits
+from .texts import slices
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Least number of sampled values of a set, on average.
-SAMPLE = 12
-#: Sets of fewer than 2**FULL shingles are sampled whole.
-FULL = 6
-#: Bits of the filter that holds the keys of sets sampled whole. Its size is fixed (16 MB): more keys only let more values of larger sets through, none is lost.
-FILTER_BITS = 1 << 27
-#: Standard errors by which a sample may miss what its set promises.
-ERRORS = 3.3
-SMALL, LARGE = 4, 16  # longs of the two kinds of bitmaps
-WORD = re.compile(r"\w+")
-MEMO = 500_000
+#: Bits of the filter that holds the shingles of sets sampled whole. Its size is fixed (32 MB): more of them only let more values of larger sets through, none is lost.
+FILTER_BITS = 1 << 28
+LARGE = 16  # longs of the large bitmaps
+#: What stands between words: anything but letters, numerals and underscores.
+NO_WORD = r"[^\pL\pN_]+"
+#: Bytes of words that are hashed at once.
+BLOCK = 1 << 20
 #: Whole words between white space, each different one of which starts a shingle of its own (but for the last four).
 PLAIN_WORD = r"(?<=\s)[a-z0-9_]++(?=\s)"
 
@@ -53,36 +49,56 @@ def allowed(m, n, threshold: float = THRESHOLD, xp=np):
     return xp.where(m >= n, whole, xp.floor(m * (1 - threshold) + ERRORS * xp.sqrt(m * (threshold * (1 - threshold)) * (1 - m / xp.maximum(n, 1))) + 0.5))
 
 
-def _allowed_column(m: Column, n: Column, threshold: float) -> Column:
-    whole = F.floor(n * F.lit(1 - threshold) + 1e-9)
-    return F.when(m >= n, whole).otherwise(F.floor(m * F.lit(1 - threshold) + ERRORS * F.sqrt(m * F.lit(threshold * (1 - threshold)) * (1 - m / n)) + 0.5)).cast("int")
+def word_hashes(words) -> np.ndarray:
+    """A 64-bit hash of each string of an Arrow array: a polynomial of its bytes, each replaced by a random number, and mixed. BLOCK bytes at a time."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    table = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+    power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(int(np.diff(ends).max()), 0xD6E8FEB86659FD93, np.uint64))])
+    out, at = np.empty(len(words), np.uint64), 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK, "right")) - 1)
+        first = ends[at:to] - ends[at]
+        lengths = np.diff(ends[at : to + 1])
+        place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        out[at:to] = np.add.reduceat(table[data[ends[at] : ends[to]]] * power[place], first)
+        at = to
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
+
+
+def shingle_sets(texts) -> list[np.ndarray]:
+    """For each text of an Arrow array the different 64-bit hashes of all runs of five lower-cased words, ascending; a shorter text is one run; one without words has none."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.string())), pattern=NO_WORD)
+    words = split.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    many = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    w = word_hashes(words.filter(full))
+    offsets = split.offsets.to_numpy()
+    bounds = many[offsets - offsets[0]].tolist()
+
+    def runs(n: int, of: np.ndarray) -> np.ndarray:
+        mixed = np.zeros(len(of) - n + 1, np.uint64)
+        for i in range(n):
+            mixed = (mixed ^ of[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    all_ = runs(WORDS, w) if len(w) >= WORDS else w
+    none = np.zeros(0, np.uint64)
+    return [np.unique(all_[a : b - WORDS + 1]) if b - a >= WORDS else runs(b - a, w[a:b]) if b > a else none for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def shingle_hashes(text: str) -> np.ndarray:
-    """Different 64-bit hashes of all runs of five lower-cased words, ascending; a shorter text is one run; one without words has none."""
-    import xxhash
-
-    cache = process_cache()
-    memo = cache.setdefault("words", {})
-    if len(memo) > MEMO:
-        memo.clear()
-    out = []
-    for w in WORD.findall(text.lower()):
-        h = memo.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(w) <= 64:
-                memo[w] = h
-        out.append(h)
-    words = np.array(out, np.uint64)
-    if not len(words):
-        return words
-    n = max(1, len(words) - WORDS + 1)
-    mixed = np.zeros(n, np.uint64)
-    for i in range(min(WORDS, len(words))):
-        mixed = (mixed ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    import pyarrow as pa
+
+    return shingle_sets(pa.array([text], pa.string()))[0]
 
 
 def _below(s: np.ndarray, share: float) -> int:
@@ -93,9 +109,9 @@ def _below(s: np.ndarray, share: float) -> int:
 def _bitmap(s: np.ndarray, longs: int) -> np.ndarray:
     """A bit for each value, by bits that neither the samples' bounds nor the filter look at."""
     at = (s >> np.uint64(27)) & np.uint64(64 * longs - 1)
-    out = np.zeros(longs, np.uint64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out
+    out = np.zeros(64 * longs, np.uint8)
+    out[at.astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
 
 
 def _signed(s: np.ndarray) -> np.ndarray:
@@ -106,13 +122,8 @@ def _signed(s: np.ndarray) -> np.ndarray:
 # -- samples -----------------------------------------------------------------------------------------------------------------
 
 
-def whole_keys(s: np.ndarray, threshold: float) -> int:
-    """How many of the least values of a whole sample are its keys: one more than a container may lack."""
-    return int(allowed(len(s), len(s), threshold)) + 1
-
-
-def small_set_filter(docs: DataFrame, threshold: float) -> np.ndarray:
-    """FILTER_BITS bits with one for each key of a set of fewer than 2**FULL shingles. Words are combined on the executors; at most FILTER_BITS / 64 reach the driver."""
+def small_set_filter(docs: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits with one for each shingle of a set of fewer than 2**FULL. Words are combined on the executors; at most FILTER_BITS / 64 reach the driver."""
     plain = F.size(F.array_distinct(F.regexp_extract_all(F.substring(F.lower("text"), 1, 1500), F.lit(PLAIN_WORD), F.lit(0))))
     rows = docs.select(text_of().alias("text")).where(plain < (1 << FULL) + WORDS - 1)
 
@@ -121,10 +132,8 @@ def small_set_filter(docs: DataFrame, threshold: float) -> np.ndarray:
 
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for text in batch.column(0).to_pylist():
-                s = shingle_hashes(text)
-                if 0 < len(s) < 1 << FULL:
-                    found.append(s[: whole_keys(s, threshold)])
+            for part in slices(batch, 0):
+                found += [s for s in shingle_sets(part.column(0)) if len(s) < 1 << FULL]
             at = np.unique(np.concatenate(found) & np.uint64(FILTER_BITS - 1))
             words, first = np.unique(at >> np.uint64(6), return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
@@ -136,17 +145,17 @@ def small_set_filter(docs: DataFrame, threshold: float) -> np.ndarray:
     return out
 
 
-SAMPLE_SCHEMA = "doc_id bigint, h bigint, g bigint, n int, p int, m int, near int, keys int, s1 int, vals array<bigint>, small array<bigint>, large binary"
+SAMPLE_SCHEMA = "doc_id bigint, h bigint, g bigint, n int, p int, m int, near int, upper int, s1 int, vals array<bigint>, small array<bigint>, large binary"
 
 
-def samples(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def samples(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, h (hash of the text), g (hash of its shingle set), n (its size), p (partition), and of its values those that others may look for.
 
     vals has first the m sampled values; then, ascending, those that a smaller set's sample or the filter of small sets asks for; the first m + near are below the bound of
-    partition p - 1. keys: how many are keys in any case (sets sampled whole). small: bitmaps of the sample and of the values below the bound of p - 1 (s1 of them);
+    partition p - 1, and the first upper below that of FULL. small: bitmaps of the sample and of the values below the bound of p - 1 (s1 of them);
     large: three bitmaps of the values below the bound that takes 2**FULL of 2**p, half of it and a quarter. A null text is empty.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(small_set_filter(docs, threshold))
+    shipped = docs.sparkSession.sparkContext.broadcast(small_set_filter(docs))
 
     def run(batches):
         import pyarrow as pa
@@ -155,11 +164,9 @@ def samples(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         bits = shipped.value
         low = np.uint64(FILTER_BITS - 1)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                out = {k: [] for k in ("g", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large")}
-                for text in part.column(2).to_pylist():
-                    s = shingle_hashes(text)
+            for part in slices(batch, 2):
+                out = {k: [] for k in ("g", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large")}
+                for s in shingle_sets(part.column(2)):
                     n = len(s)
                     p = max(0, n.bit_length() - 1)
                     m, upper = _below(s, bound(p)), _below(s, bound(FULL))
@@ -176,16 +183,16 @@ def samples(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                     out["p"].append(p)
                     out["m"].append(m)
                     out["near"].append((len(vals) if p <= FULL else s1) - m)
-                    out["keys"].append(whole_keys(s, threshold) if 0 < n and p < FULL else 0)
+                    out["upper"].append(upper if p >= FULL else m)
                     out["s1"].append(s1)
                     out["vals"].append(_signed(vals))
                     out["small"] += [_bitmap(s[:m], SMALL), _bitmap(s[:s1], SMALL)]
                     out["large"].append(np.concatenate([_bitmap(s[: _below(s, 2.0 ** (FULL - max(p, FULL) - i))], LARGE) for i in range(3)]).tobytes())
                 lengths = np.cumsum([0, *map(len, out["vals"])])
-                arrays = [part.column(0), part.column(1), pa.array(out["g"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("n", "p", "m", "near", "keys", "s1"))]
+                arrays = [part.column(0), part.column(1), pa.array(out["g"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("n", "p", "m", "near", "upper", "s1"))]
                 arrays += [pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out["vals"]), pa.int64()))]
                 arrays += [pa.ListArray.from_arrays(pa.array(np.arange(len(out["n"]) + 1) * 2 * SMALL, pa.int32()), pa.array(np.concatenate(out["small"]).view(np.int64), pa.int64())), pa.array(out["large"], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     return rows.mapInArrow(run, SAMPLE_SCHEMA)
@@ -194,56 +201,6 @@ def samples(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 # -- candidates --------------------------------------------------------------------------------------------------------------
 
 
-def shared_values(sets: DataFrame, threshold: float) -> DataFrame:
-    """v, id, p, own, near, low and lead for every value that two sets or more have been asked for: lead marks the keys of id.
-
-    own: v is in id's sample; near: below the bound of p - 1; low: id is small enough to be alike to a set of partition p - 1.
-    """
-    flags = F.when(F.col("pos") < F.col("m"), 1).otherwise(0) + F.when(F.col("pos") < F.col("m") + F.col("near"), 2).otherwise(0) + F.when(F.col("pos") < F.col("keys"), 4).otherwise(0)
-    flags = flags + F.when(F.col("n") * threshold <= F.pow(F.lit(2.0), F.col("p")), 8).otherwise(0) + F.col("p") * 16
-    values = sets.where("n > 0").select("id", "n", "p", "m", "near", "keys", F.posexplode("vals").alias("pos", "v")).select("v", "id", flags.cast("int").alias("flags"))
-    often = values.groupBy("v").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    has = lambda bit: F.col("flags").bitwiseAND(bit) != 0
-    rows = stored(values.join(often.hint("shuffle_hash"), "v").select("v", "id", "df", F.floor(F.col("flags") / 16).cast("int").alias("p"), has(1).alias("own"), has(2).alias("near"), has(4).alias("key"), has(8).alias("low")), "near-values")
-    # of a set that isn't sampled whole: the rarest values, one more than the allowance leaves after those that no other set has
-    rare = rows.where(F.col("own") & (F.col("p") >= FULL)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("mine")).join(sets.select("id", "n", "m"), "id")
-    left = _allowed_column(F.col("m"), F.col("n"), threshold) - (F.col("m") - F.size("mine")) + 1
-    rare = rare.where(left > 0).select("id", F.explode(F.slice("mine", F.lit(1), left)).alias("x")).select("id", F.col("x.v").alias("v"))
-    keys = rare.unionByName(rows.where("key").select("id", "v")).withColumn("lead", F.lit(True))
-    out = stored(rows.drop("key").join(keys, ["v", "id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "near-index")
-    discard(rows)
-    return out
-
-
-def alike_buckets(index: DataFrame) -> DataFrame:
-    """key, q, id, lead, n, leads, hub: the sets of partition q, and those of the next that may be alike to them, by shared value; each bucket has a set of which it is a key."""
-    qs = F.array_compact(F.array(F.when(F.col("own"), F.col("p")), F.when(F.col("low") & F.col("near") & (F.col("p") > 0), F.col("p") - 1)))
-    rows = index.select("v", "id", "p", "lead", F.explode(qs).alias("q")).select(F.xxhash64("v", "q").alias("key"), "q", "id", (F.col("lead") & (F.col("p") == F.col("q"))).alias("lead"))
-    of = rows.groupBy("key").agg(F.count("*").alias("n"), F.count_if("lead").alias("leads"), F.max(F.struct("lead", "id")).alias("hub")).where("n > 1 AND leads > 0")
-    return stored(rows.join(of.select("key", "n", "leads", F.col("hub.id").alias("hub")).hint("shuffle_hash"), "key"), "near-buckets")
-
-
-def alike_possible(threshold: float):
-    """Of two rows of a bucket: whether their bitmaps' difference allows a Jaccard of threshold. Samples get ERRORS standard errors, whole sets none."""
-
-    def test(left: str, right: str) -> Column:
-        a, b = F.col(f"{left}s"), F.col(f"{right}s")
-        differ = F.lit(0)
-        for w in range(SMALL):
-            differ = differ + F.bit_count(F.col(f"{left}b{w}").bitwiseXOR(F.col(f"{right}b{w}")))
-        of = (a + b) / (1 + threshold)  # the union of sets of that Jaccard
-        slack = F.when(F.col("q") >= FULL, ERRORS * F.sqrt(of * (threshold * (1 - threshold))) + 1).otherwise(1e-9)
-        return differ <= of * (1 - threshold) + slack
-
-    return test
-
-
-def small_traits(sets: DataFrame) -> DataFrame:
-    """id, q, s and b0 to b3: a row for the set's own partition and one for that below it."""
-    each = F.array(*[F.struct((F.col("p") - i).alias("q"), F.col("s1" if i else "m").alias("s"), *[F.col("small")[SMALL * i + w].alias(f"b{w}") for w in range(SMALL)]) for i in range(2)])
-    return sets.where("n > 0").select("id", F.explode(each).alias("x")).select("id", "x.*")
-
-
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float, contained: bool) -> DataFrame:
     """The pairs (a, b) that the large bitmaps allow to be contained (a in b, or the smaller in the larger) or to be alike by the threshold."""
     traits = sets.select("id", "n", "large")
@@ -292,12 +249,14 @@ class Sets:
         def pack(batches):
             import pyarrow as pa
 
+            def packed(sets):
+                return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
+
             for batch in batches:
-                for at in range(0, batch.num_rows, 128):
-                    part = batch.slice(at, 128)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "s"])
+                for part in slices(batch, 1):
+                    yield pa.RecordBatch.from_arrays([part.column(0), packed(shingle_sets(part.column(1)))], names=["id", "s"])
 
-        self.tables.append(stored(texts.mapInArrow(pack, "id bigint, s binary").dropDuplicates(["id"]), "near-sets"))
+        self.tables.append(stored(texts.mapInArrow(pack, "id bigint, s array<bigint>").dropDuplicates(["id"]), "near-sets"))
 
     def all(self) -> DataFrame:
         out = self.tables[0]
@@ -309,25 +268,8 @@ class Sets:
         """a, b, na, nb, shared: exact sizes of the two sets and of what they share."""
         self.add(pairs)
         sets = self.all()
-
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    na, nb, shared = [], [], []
-                    for x, y in zip(part.column(2), part.column(3), strict=True):
-                        a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                        na.append(len(a))
-                        nb.append(len(b))
-                        a, b = (a, b) if len(a) <= len(b) else (b, a)
-                        place = np.searchsorted(b, a)
-                        shared.append(int((b[np.minimum(place, len(b) - 1)] == a).sum()) if len(b) else 0)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int32()) for x in (na, nb, shared))], names=["a", "b", "na", "nb", "shared"])
-
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
-        return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na int, nb int, shared int")
+        return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
 
     def drop(self) -> None:
         for t in self.tables:
@@ -341,9 +283,8 @@ def alike_roots(sets: DataFrame, index: DataFrame, whole: Sets, threshold: float
     """(node, root): components of all verified links of Jaccard `threshold` or more between sets that share a key."""
     spark = sets.sparkSession
     buckets = alike_buckets(index)
-    star = buckets.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))
-    first = stored(likely(star, sets, threshold, False), "near-likely")
+    first = stored(likely(star_pairs(buckets), sets, threshold, False), "near-likely")
     release(spark)
     roots = stored(components(stored(whole.verified(first).where(near).select("a", "b"), "near-links")), "near-roots")
     release(spark)
@@ -352,23 +293,26 @@ def alike_roots(sets: DataFrame, index: DataFrame, whole: Sets, threshold: float
     discard(apart.rooted)
     discard(buckets)
     discard(first)
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    joined = whole.verified(more).where(near).join(root("a"), "a", "left").join(root("b"), "b", "left")
-    joined = stored(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).distinct(), "near-joins")
+    out = merged_roots(roots, whole.verified(more).where(near))
     discard(more)
-    top = components(joined)
-    named = roots.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).select("node", F.col("node").alias("root"))).distinct()
-    out = named.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-    return stored(out.select("node", F.coalesce("top", "root").alias("root")), "near-tops")
+    return out
 
 
 def containers(sets: DataFrame, index: DataFrame, named: DataFrame, heads: DataFrame, whole: Sets, threshold: float) -> DataFrame:
     """a, b, na, nb, shared: every head a that is contained by `threshold` in a set b of another component. named: id, comp, rank; heads: comp, x."""
     comp = named.select("id", "comp")
-    keys = index.where("lead").select("v", F.col("id").alias("a"), F.col("p").alias("pa")).join(heads.select(F.col("x").alias("a"), F.col("comp").alias("ca")), "a")
-    others = index.select("v", F.col("id").alias("b"), F.col("p").alias("pb")).join(keys.select("v").distinct(), "v", "left_semi").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b")
+    rows = stored(index.select("v", "id", "p", "own", "wide").join(comp, "id"), "near-outer")
+    # a value of one component only is one that every container of another lacks
+    outer = rows.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("v", "df")
+    rows_of = stored(rows.join(outer.hint("shuffle_hash"), "v"), "near-outer")
+    discard(rows)
+    own = rows_of.join(heads.select(F.col("x").alias("id")), "id")
+    keys = rare_keys(own, sets, threshold)
+    keys = keys.withColumnRenamed("id", "a").join(own.select(F.col("id").alias("a"), "v", F.col("p").alias("pa"), F.col("comp").alias("ca")), ["a", "v"])
+    others = rows_of.select("v", F.col("id").alias("b"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
     pairs = keys.join(others, "v").where((F.col("pb") >= F.col("pa")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
     found = stored(likely(pairs, sets, threshold, True), "near-containers")
+    discard(rows_of)
     release(sets.sparkSession)
     out = stored(whole.verified(found).where((F.col("nb") >= F.col("na")) & (F.col("shared") >= threshold * F.col("na"))), "near-contained")
     discard(found)
@@ -386,10 +330,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     No group's pairs are all emitted: a bucket's sets are first held against one of them, and only those that are still in different components against each other, in blocks, by bitmaps.
     """
-    rows = stored(samples(docs, threshold), "near-samples")
+    rows = stored(samples(docs), "near-samples")
     slim = stored(rows.select("doc_id", "h", "g", "n"), "near-rows")
-    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "p", "m", "near", "keys", "s1", "vals", "small", "large")])
-    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "p", "m", "near", "keys", "s1", "vals", "small", "large"), "near-nodes")
+    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "p", "m", "near", "upper", "s1", "vals", "small", "large")])
+    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large"), "near-nodes")
     discard(rows)
     release(docs.sparkSession)
     index = shared_values(sets, threshold)
