@@ -24,7 +24,13 @@ BLOCK = 1 << 19
 SEGMENT = 1 << 21
 EVERY = 128
 LOW = np.uint64(1 << 31)
-MEMO = 1_000_000
+#: Runs in each of the two generations that a Python worker remembers, and their most characters: some 150 MB together.
+MEMO = 400_000
+LONGEST = 48
+#: Stands between runs that are encoded together; runs with numerals are encoded apart.
+MARK = "0"
+#: Bytes of text that are encoded together (a longer text is encoded alone).
+PIECE = 8 << 20
 END_ID = 1
 
 
@@ -173,27 +179,78 @@ def decode_segment(data: bytes):
 
 
 class WordCoder:
-    """Ids of whole texts by the tokenizers library, which never joins characters across ASCII white space: runs without it are encoded by themselves and remembered."""
+    """Ids of whole texts by the tokenizers library, which never joins characters across ASCII white space: each different run without it is encoded once and remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        memo = self.memo
-        runs = text.encode().split()
-        if new := [*{r for r in runs if r not in memo}]:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = [*set(runs)]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for r, e in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    memo[r] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(memo.__getitem__, runs))
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
+
+    def _fresh(self, runs: list[str]) -> list[bytes]:
+        """Each run's ids from the library, which takes many at once: they are joined with a mark between them that none of them holds."""
+        if len(self.mark) != 1:
+            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+        apart = [i for i, r in enumerate(runs) if any(c.isnumeric() for c in r)] if not "".join(runs).isalpha() else []
+        out: list[bytes] = [b""] * len(runs)
+        for i, e in zip(apart, self.library.encode_batch_fast([runs[i] for i in apart], add_special_tokens=False), strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        alone = set(apart)
+        joined = [i for i in range(len(runs)) if i not in alone]
+        groups = [joined[at : at + 1024] for at in range(0, len(joined), 1024)]
+        for group, e in zip(groups, self.library.encode_batch_fast([f" {MARK} ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("the mark between runs is not kept apart")
+            raw, at = ids.tobytes(), 0
+            for i, end in zip(group, ends, strict=True):
+                out[i] = raw[at:end]
+                at = end + 4
+        return out
+
+    def _runs(self, runs: list[str]) -> list[bytes]:
+        """Each run's ids. Runs of up to LONGEST characters are remembered in two generations of up to MEMO; what isn't met within a generation is forgotten, so the memory is bounded by bytes."""
+        memo, older = self.memo, self.older
+        got = [memo.get(r) for r in runs]
+        missing = [i for i, x in enumerate(got) if x is None]
+        new = []
+        for i in missing:
+            x = older.get(runs[i])
+            if x is None:
+                new.append(i)
+            else:
+                got[i] = memo[runs[i]] = x
+        for i, x in zip(new, self._fresh([runs[i] for i in new]), strict=True):
+            got[i] = x
+            if len(runs[i]) <= LONGEST:
+                memo[runs[i]] = x
+        if len(memo) > MEMO:
+            self.memo, self.older = {}, memo
+        return got
+
+    def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow array of texts, each text's followed by end_id, and each text's number of ids with that."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        runs = split.flatten().dictionary_encode()
+        of, offsets = runs.indices.to_numpy(), split.offsets.to_numpy()
+        coded = self._runs(runs.dictionary.to_pylist())
+        sizes = np.array([len(x) // 4 for x in coded], np.int64)
+        pool, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[of]
+        before = np.concatenate([[0], np.cumsum(each)])
+        lengths = before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]] + 1
+        out = np.empty(int(before[-1]) + len(lengths), np.uint32)
+        ends = np.cumsum(lengths) - 1
+        own = np.ones(len(out), bool)
+        own[ends] = False
+        out[ends] = end_id
+        out[own] = pool[np.repeat(first[of] - before[:-1], each) + np.arange(before[-1])]
+        return out, lengths
 
 
 def word_coder(path: str) -> WordCoder:
@@ -214,36 +271,40 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
     One range shuffle of (doc_id, text) orders the documents; a task tokenizes, counts and codes one segment at a time. A null text is
     empty and has the end id alone. A null doc_id comes first; repeated doc_ids stay apart, in the order of their texts. A document longer than a
-    segment makes a longer segment, whose blocks stay as small as all others.
+    segment makes a longer segment, whose blocks stay as small as all others. No rows make no segment. Other columns are not read, so their names can't clash.
     """
     path = tokenizer or default_tokenizer()
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        coder, end = word_coder(path), struct.pack("<I", end_id)
+        coder = word_coder(path)
         names, lengths, parts, held, number = [], [], [], 0, 0
         me = TaskContext.get().partitionId()
 
         def flush():
             nonlocal names, lengths, parts, held, number
-            data = encode_segment(names, lengths, np.frombuffer(b"".join(parts), "<u4"))
+            data = encode_segment(names, lengths, np.concatenate(parts))
             out = pa.RecordBatch.from_pydict({"part": pa.array([me], pa.int32()), "segment": pa.array([number], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "data": pa.array([data], pa.binary())})
             names, lengths, parts, held, number = [], [], [], 0, number + 1
             return out
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                piece = batch.slice(at, 64)
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                    ids = coder.encode(text) + end
-                    names.append(doc_id)
-                    lengths.append(len(ids) // 4)
-                    parts.append(ids)
-                    held += lengths[-1]
-                    if held >= segment:
-                        yield flush()
+            size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE, "right")))
+                piece = batch.slice(at, to - at)
+                ids, many = coder.encode(piece.column(1), end_id)
+                names += piece.column(0).to_pylist()
+                lengths += many.tolist()
+                parts.append(ids)
+                held += len(ids)
+                at = to
+                if held >= segment:
+                    yield flush()
         if names:
             yield flush()
 
