@@ -28,8 +28,8 @@ class Rule:
 
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
-#: Hosts whose pages make up the block list of the query.
-LISTED_HOSTS = ("spam-farm.example.org",)
+#: The block list of the query holds the canonical URL of every page whose host has one of these words between dots and hyphens.
+LISTED_WORDS = ("ads", "adult", "bets", "casino", "pills", "spam")
 
 
 def url_host(url: Column) -> Column:
@@ -94,7 +94,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
 
     listed has a column canonical; repeats and nulls in it don't matter. A null or schemeless url has empty host and path, fits no rule
     and is allowed (its canonical form is empty, which is never listed). An empty list allows all that no rule blocks. Repeated page
-    ids are judged row by row; other columns of pages are not read, so their names can't clash.
+    ids are judged row by row; other columns of pages are not read, so their names can't clash. A url of any length is judged whole. No rows give no rows.
     """
     listed = listed.select("canonical").where(F.length("canonical") > 0).distinct()
     n = listed.count()
@@ -111,13 +111,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     return sure.unionByName(hits).select("page_id", "host", "path", "rule", F.coalesce("_rule_verdict", F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"), F.coalesce("_listed", F.lit(False)).alias("listed"))
 
 
-def listed_urls(pages: DataFrame, hosts=LISTED_HOSTS) -> DataFrame:
-    """Canonical URLs of the pages on the given hosts and their subdomains."""
+def _listed_host(words=LISTED_WORDS) -> str:
+    return f"(^|[.-])({'|'.join(words)})([.-]|$)"
+
+
+def listed_urls(pages: DataFrame, words=LISTED_WORDS) -> DataFrame:
+    """Canonical URLs of the pages whose host has a listed word: a list that grows with the pages."""
     host = url_host(F.col("url"))
-    on = F.lit(False)
-    for h in hosts:
-        on = on | (host == h) | host.endswith("." + h)
-    return pages.where(on).select(canonical_url(host, url_path(F.col("url"))).alias("canonical")).where(F.length("canonical") > 0).distinct()
+    return pages.where(host.rlike(_listed_host(words))).select(canonical_url(host, url_path(F.col("url"))).alias("canonical")).where(F.length("canonical") > 0).distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,18 +137,17 @@ def _fits(rule: Rule) -> str:
     return f"((host = '{rule.host}' OR ends_with(host, '.{rule.host}')) AND starts_with(path, '{rule.path}'))"
 
 
-def oracle(rules=RULES, hosts=LISTED_HOSTS) -> str:
+def oracle(rules=RULES, words=LISTED_WORDS) -> str:
     by_length = sorted(rules, key=lambda r: -len(r.text))
     text = " ".join(f"WHEN {_fits(r)} THEN '{r.text}'" for r in by_length)
     verdict = " ".join(f"WHEN {_fits(r)} THEN '{r.verdict}'" for r in by_length)
-    on = " OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in hosts)
     return f"""
 WITH parts AS ({_PARTS}),
 judged AS (
   SELECT *, CASE {text} END AS rule, CASE {verdict} END AS rule_verdict,
          regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(regexp_replace(path, '(?:index)?\\.html?$', ''), '/+$', '') AS canonical
   FROM parts),
-listed AS (SELECT DISTINCT canonical FROM judged WHERE ({on}) AND canonical <> '')
+listed AS (SELECT DISTINCT canonical FROM judged WHERE regexp_matches(host, '{_listed_host(words)}') AND canonical <> '')
 SELECT page_id, host, path, rule,
        coalesce(rule_verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
        (rule_verdict IS NULL AND l.canonical IS NOT NULL) AS listed
