@@ -25,5 +25,6 @@ def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int, pe
 
 
 def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text, y of the sample; its ids are few (a documented bound), so they are broadcast."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    """doc_id, text, y of the sample; its ids are few (a documented bound), so they are broadcast. Of rows with the same id the one of the least text is taken."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -1,106 +1,123 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
-Terms are lower-cased words and four-letter beginnings of words. The vocabulary holds the terms that tell the labels apart (by
-log-likelihood ratio and by lift); documents without any of them have no neighbours and get the calibrated score of no evidence.
+Terms are lower-cased words and four-letter beginnings of words. The vocabulary doesn't look at labels: it holds the terms that a share between LEAST and MOST of all documents has. What
+rarer terms would add are chance meetings of names; the commonest are of no weight. A term weighs its count times the square of its idf over all documents, and more if the examples'
+labels differ in it beyond chance; none weighs less. Examples of both labels are indexed with all their terms of the vocabulary.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import labelled_ids, labelled_texts, remainder
+from .texts import slices
 
-#: Bound of the fit: examples of each class, terms of the vocabulary.
+#: Bound of the fit: examples of each class.
 PER_CLASS = 2000
-TERMS = 4096
+#: Shares of all documents between which a term is in the vocabulary: so it has at most 1 / LEAST times the different terms of a document on average.
+LEAST, MOST = 0.01, 0.5
+#: Documents and bytes of a chunk when frequent terms are looked for.
+CHUNK, CHUNK_BYTES = 2048, 4 << 20
 MODULUS, HELD_OUT = 4, 2
 NEIGHBOURS = 15
+#: Standard errors by which the best of some thousand terms differs between labels by chance.
+CHANCE = 4.0
 BLOCK = 64
 THRESHOLD = 0.3
 MASS = 0.25
-#: Least log-likelihood ratio of a term: beyond what chance gives the best of some hundred thousand terms.
-LEAST_RATIO = 18.0
-WORD = re.compile(r"\w+")
 BEGIN = 4
-
-
-def terms_of(text: str) -> dict[str, int]:
-    """Terms of a whole text with their counts; a beginning ends in *."""
-    from collections import Counter
-
-    words = Counter(WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        if len(w) >= BEGIN:
-            out[w[:BEGIN] + "*"] += n
-    return out
+NO_WORD = r"[^\pL\pN_]+"
+
+
+def term_counts(texts, vocabulary=None):
+    """(document, term, count) as three arrays for an Arrow array of texts, and the terms: those of the vocabulary, or all that occur. A beginning ends in *."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.string())), pattern=NO_WORD)
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    begins = pc.utf8_slice_codeunits(words, 0, BEGIN)
+    long = pc.greater_equal(pc.utf8_length(words), BEGIN)
+    starred = pc.if_else(long, pc.binary_join_element_wise(begins, "*", ""), None)
+    whole = pc.if_else(pc.greater(pc.binary_length(words), 0), words, None)
+    if vocabulary is None:
+        both = pa.concat_arrays([whole, starred]).dictionary_encode()
+        code, vocabulary = both.indices, both.dictionary
+    else:
+        code = pa.concat_arrays([pc.index_in(whole, vocabulary), pc.index_in(starred, vocabulary)])
+    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    pair = np.concatenate([doc, doc])[known] * max(1, len(vocabulary)) + code.drop_null().to_numpy().astype(np.int64)
+    pairs, counts = np.unique(pair, return_counts=True)
+    return pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary)), counts, vocabulary
 
 
 class Index:
-    """Examples' unit vectors in postings by term and block, with the largest weight of each term in each block."""
+    """Examples' unit vectors in postings by term, with the largest weight of each term in each block of examples."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.begins = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
-        self.idf = idf
+    def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]):
+        self.terms, self.weight = terms, weight
         rows = [(d, y, self.unit(c)) for d, y, c in examples]
         rows = [(d, y, v) for d, y, v in rows if len(v[0])]
         rows.sort(key=lambda r: (int(r[2][0][np.argmax(r[2][1])]), r[0]))  # alike examples share blocks, so that the bounds are tight
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], np.float64)
         self.blocks = max(1, -(-len(rows) // BLOCK))
+        where = np.concatenate([np.full(len(v[0]), i) for i, (_, _, v) in enumerate(rows)] or [np.zeros(0, np.int64)]).astype(np.int32)
+        term = np.concatenate([v[0] for _, _, v in rows] or [np.zeros(0, np.int64)])
+        value = np.concatenate([v[1] for _, _, v in rows] or [np.zeros(0)])
+        order = np.argsort(term, kind="stable")
+        self.post, self.value = where[order], value[order]
+        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.most = np.zeros((len(terms), self.blocks))
-        posts: dict[tuple[int, int], tuple[list[int], list[float]]] = {}
-        for i, (_, _, (ts, ws)) in enumerate(rows):
-            for t, w in zip(ts.tolist(), ws.tolist(), strict=True):
-                ids, weights = posts.setdefault((t, i // BLOCK), ([], []))
-                ids.append(i % BLOCK)
-                weights.append(w)
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], w)
-        self.posts = {k: (np.array(a), np.array(b)) for k, (a, b) in posts.items()}
+        np.maximum.at(self.most, (term, where // BLOCK), value)
         self.slope, self.offset = 1.0, 0.0
 
     def unit(self, counts: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
         ts = np.array(sorted(counts), np.int64)
-        ws = np.log1p(np.array([counts[t] for t in ts.tolist()], np.float64)) * self.idf[ts]
-        return ts, ws / np.sqrt(np.square(ws).sum()) if len(ts) else ws
-
-    def counts(self, text: str) -> dict[int, int]:
-        """Counts of the vocabulary's terms in a whole text."""
-        out: dict[int, int] = {}
-        words, begins = self.words.get, self.begins.get
-        for w in WORD.findall(text.lower()):
-            t = words(w)
-            if t is not None:
-                out[t] = out.get(t, 0) + 1
-            if len(w) >= BEGIN:
-                t = begins(w[:BEGIN])
-                if t is not None:
-                    out[t] = out.get(t, 0) + 1
-        return out
+        return self.unit_of(ts, np.array([counts[t] for t in ts.tolist()], np.float64))
+
+    def unit_of(self, ts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ws = counts * self.weight[ts]
+        norm = np.sqrt(np.square(ws).sum())
+        return (ts, ws / norm) if norm > 0 else (ts[:0], ws[:0])
 
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, float]]:
-        """The k examples of largest cosine above 0: (cosine, doc_id, label), ties to the smaller doc_id. Blocks go by falling bound until none can matter."""
+        """The k examples of largest cosine above 0: (cosine, doc_id, label), ties to the smaller doc_id.
+
+        The blocks of the highest bounds are scored first; of the others only those whose bound reaches what the k-th best has by then.
+        """
         ts, ws = vector
         if not len(ts) or not len(self.ids):
             return []
         bounds = ws @ self.most[ts]
-        best: list[tuple[float, int, float]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) >= k and bounds[b] < -best[k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(ts.tolist(), ws.tolist(), strict=True):
-                if (p := self.posts.get((t, b))) is not None:
-                    scores[p[0]] += w * p[1]
-            at = np.flatnonzero(scores > 0)
-            best += [(-round(s, 12), int(d), y) for s, d, y in zip(scores[at].tolist(), self.ids[b * BLOCK + at], self.labels[b * BLOCK + at].tolist(), strict=True) if d != without]
-            best.sort()
-            del best[k:]
+        a, b = self.start[ts], self.start[ts + 1]
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
+        post, value = self.post[at], self.value[at] * np.repeat(ws, b - a)
+        first = max(1, -(-2 * k // BLOCK)) + 1
+        rank = np.argsort(-bounds, kind="stable")
+        chosen = np.zeros(self.blocks, bool)
+        chosen[rank[:first]] = True
+
+        def scored(blocks: np.ndarray) -> np.ndarray:
+            mine = blocks[post // BLOCK]
+            return np.bincount(post[mine], value[mine], len(self.ids))
+
+        scores = scored(chosen)
+        if without is not None:
+            scores[self.ids == without] = 0
+        floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
+        rest = (bounds > 0) & (bounds >= floor - 1e-9) & ~chosen
+        if rest.any():
+            scores += scored(rest)
+            if without is not None:
+                scores[self.ids == without] = 0
+        found = np.flatnonzero(scores > 0)
+        if len(found) > 4 * k:
+            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
+        best = sorted((-round(s, 12), d, y) for s, d, y in zip(scores[found].tolist(), self.ids[found].tolist(), self.labels[found].tolist(), strict=True))[:k]
         return [(-s, d, y) for s, d, y in best]
 
     def vote(self, near: list[tuple[float, int, float]]) -> float:
@@ -112,6 +129,21 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -40, 40))))
 
 
+def relevance(terms: int, examples: list[tuple[int, int, dict[int, float]]]) -> np.ndarray:
+    """A factor of at least 1 for each term: 1, and what the root of its log-likelihood ratio between the examples' labels has beyond CHANCE."""
+    has = np.zeros((2, terms))
+    for _, y, counts in examples:
+        has[y, list(counts)] += 1
+    n = np.array([[sum(y == k for _, y, _ in examples)] for k in (0, 1)], float)
+
+    def part(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(of, 1e-9)), 0)
+
+    share = has.sum(0) / n.sum()
+    ratio = 2 * (part(has, n * share) + part(n - has, n * (1 - share))).sum(0)
+    return 1 + np.maximum(0, np.sqrt(np.maximum(ratio, 0)) - CHANCE)
+
+
 def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic fit of labels on votes (Newton steps, a small ridge on the slope)."""
     x = np.stack([votes, np.ones_like(votes)], 1)
@@ -125,51 +157,78 @@ def calibrated(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tu
     return float(at[0]), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_class: int = PER_CLASS, max_terms: int = TERMS) -> Index:
-    """Learns vocabulary, index and calibration from at most per_class examples of each class that aren't held out.
+def frequent_terms(docs: DataFrame, least: float = LEAST, most: float = MOST) -> tuple[list[str], np.ndarray, int]:
+    """The terms that between least and most of all documents have, ascending, their idf over all documents, and the number of documents.
+
+    Chunks of documents name the terms that half of `least` of their documents have, with their counts; where a chunk doesn't name a term, at most that half has it. So a sum rules out
+    all terms but some 2 / least times the different terms of a document on average, and a second pass counts those left in all documents.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    total = texts.count()
+
+    def named(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 0, CHUNK, CHUNK_BYTES):
+                _, term, _, words = term_counts(part.column(0))
+                many = np.bincount(term, minlength=len(words))
+                often = np.flatnonzero(many >= max(1, least / 2 * part.num_rows))
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(often)), pa.array(many[often], pa.int64()), pa.array(np.full(len(often), part.num_rows), pa.int64())], names=["term", "df", "n"])
+
+    sums = texts.mapInArrow(named, "term string, df bigint, n bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    names = sorted(r["term"] for r in sums.where(F.col("df") + least / 2 * (total - F.col("n")) >= least * total).select("term").collect())
+    shipped = docs.sparkSession.sparkContext.broadcast(names)
+
+    def counted(batches):
+        import pyarrow as pa
+
+        vocabulary = pa.array(shipped.value, pa.string())
+        df = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, CHUNK):
+                df += np.bincount(term_counts(part.column(0), vocabulary)[1], minlength=len(df))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some], pa.int64())], names=["i", "df"])
+
+    got = texts.mapInArrow(counted, "i int, df bigint").groupBy("i").agg(F.sum("df").alias("df")).where((F.col("df") >= least * total) & (F.col("df") <= most * total)).collect()
+    kept = sorted((names[r["i"]], r["df"]) for r in got)
+    return [t for t, _ in kept], np.array([np.log((total + 1) / (n + 1)) for _, n in kept]), total
+
 
-    Term statistics are gathered on the executors; the driver gets max_terms terms and the examples' counts of those. Without examples of both
-    classes there is no vocabulary, and every document gets the share of label 1 (0 without labels).
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Index:
+    """Learns index and calibration from at most per_class examples of each class that aren't held out; the vocabulary and its idf are those of all documents.
+
+    The driver gets the vocabulary and the examples' counts, both bounded. Without examples of both classes (no labels, or no documents for them) there is no index, and every
+    document gets the share of label 1 among the labels that aren't held out (0 without labels). Of documents with the same id the one of the least text is the example.
     """
     ids, counts = labelled_ids(labels, "toxic", modulus, held_out, per_class)
-    n0, n1 = (min(per_class, counts.get(y, 0)) for y in (0, 1))
-    if not n0 or not n1:
-        empty = Index([], np.zeros(0), [])
-        empty.slope, empty.offset = 0.0, (40.0 if n1 else -40.0)
-        return empty
-    texts = labelled_texts(docs, ids)
-
-    def terms(frames):
-        import pandas as pd
-
-        for frame in frames:
-            rows = [(t, y) for text, y in zip(frame["text"], frame["y"], strict=True) for t in terms_of(text)]
-            yield pd.DataFrame(rows, columns=["term", "y"]).astype({"y": "int32"})
-
-    df = texts.select("text", "y").mapInPandas(terms, "term string, y int").groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    df = df.where(F.col("a") + F.col("b") >= 3)
-    all_ = F.lit(float(n0 + n1))
-    mean = lambda n, of: F.col(n) * F.log(F.greatest(F.col(n), F.lit(1e-9)) * all_ / ((F.col("a") + F.col("b")) * of))
-    lift = (F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1))
-    strong = df.withColumns({"g": 2 * (mean("a", float(n1)) + mean("b", float(n0))), "lift": lift}).where((F.col("g") >= LEAST_RATIO) & ((F.col("lift") >= 3) | (F.col("lift") <= 1 / 3)))
-    chosen = sorted(strong.orderBy(F.col("g").desc(), "term").limit(max_terms).collect(), key=lambda r: r["term"])
-    vocabulary = [r["term"] for r in chosen]
-    idf = np.array([np.log((n0 + n1 + 1) / (r["a"] + r["b"] + 1)) + 1 for r in chosen])
-    index = Index(vocabulary, idf, [])
-
-    def vectors(frames):
-        import pandas as pd
-
-        for frame in frames:
-            got = [index.counts(t) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "ts": [list(c) for c in got], "ns": [list(c.values()) for c in got]})
-
-    rows = texts.select("doc_id", "text", "y").mapInPandas(vectors, "doc_id bigint, y int, ts array<int>, ns array<int>").collect()
+    terms, idf, _ = frequent_terms(docs)
+    bare = Index(terms, np.square(idf), [])
+    known = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def vectors(batches):
+        import pyarrow as pa
+
+        vocabulary = pa.array(known.value, pa.string())
+        for batch in batches:
+            for part in slices(batch, 1, CHUNK):
+                doc, term, count, _ = term_counts(part.column(1), vocabulary)
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, count)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "y", "ts", "ns"])
+
+    rows = labelled_texts(docs, ids).select("doc_id", "text", "y").mapInArrow(vectors, "doc_id bigint, y int, ts array<int>, ns array<int>").collect()
+    n = {y: sum(r["y"] == y for r in rows) for y in (0, 1)}
+    if not n[0] or not n[1]:
+        share = counts.get(1, 0) / max(1, sum(counts.values()))
+        bare.slope, bare.offset = 0.0, float(np.clip(np.log(max(share, 1e-18)) - np.log(max(1 - share, 1e-18)), -40, 40))
+        return bare
     examples = sorted((r["doc_id"], r["y"], dict(zip(r["ts"], r["ns"], strict=True))) for r in rows)
-    index = Index(vocabulary, idf, examples)
+    index = Index(terms, np.square(idf) * relevance(len(terms), examples), examples)
     votes = np.array([index.vote(index.nearest(index.unit(c), without=d)) for d, _, c in examples])
     ys = np.array([y for _, y, _ in examples], np.float64)
-    share = {y: counts[y] / (n1 if y else n0) for y in (0, 1)}  # the sample's classes weigh as in all labels
+    share = {y: counts[y] / n[y] for y in (0, 1)}  # the sample's classes weigh as in all labels
     index.slope, index.offset = calibrated(votes, ys, np.where(ys == 1, share[1], share[0]) / max(share.values()))
     return index
 
@@ -177,8 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
 def score_documents(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns, score, predicted, and the nearest examples as evidence (evidence_ids, evidence_scores) for every row.
 
-    A null text counts as empty. Rows are scored one by one from their whole texts: ties and repeats get equal scores. No shuffle.
+    A null text counts as empty; a text without terms of the vocabulary has no neighbours and gets the score of no vote. Rows are scored one by one from their whole texts: ties
+    and repeats get equal scores; a very long text is taken alone. No rows give no rows. No shuffle. Columns that aren't kept are not read; a kept column of the name of a new one is refused: `without_toxic` keeps any.
     """
+    if clash := {"score", "predicted", "evidence_ids", "evidence_scores"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be there twice")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     shipped = docs.sparkSession.sparkContext.broadcast(index)  # its size is bounded by the fit's parameters
 
@@ -186,20 +248,28 @@ def score_documents(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc
         import pyarrow as pa
 
         index = shipped.value
-        none = index.score(0.0)
+        vocabulary, none = pa.array(index.terms, pa.string()), index.score(0.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, len(keep), CHUNK):
+                doc, term, count, _ = term_counts(part.column(len(keep)), vocabulary)
+                at = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
                 scores, ids, sims = [], [], []
-                for text in part.column(len(keep)).to_pylist():
-                    near = index.nearest(index.unit(c)) if text and (c := index.counts(text)) else []
+                for i in range(part.num_rows):
+                    near = index.nearest(index.unit_of(term[at[i] : at[i + 1]], count[at[i] : at[i + 1]])) if len(index.ids) else []
                     scores.append(index.score(index.vote(near)) if near else none)
                     ids.append([d for _, d, _ in near[:3]])
                     sims.append([s for s, _, _ in near[:3]])
                 columns = [*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted", "evidence_ids", "evidence_scores"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "evidence_ids array<bigint>", "evidence_scores array<double>"]))
+    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
+    return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "evidence_ids array<bigint>", "evidence_scores array<double>"]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with its columns, whatever their names."""
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    return score_documents(packed, fit(docs, labels), keep=("row",)).where("predicted = 0").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
