@@ -6,19 +6,22 @@ chunks' mean and maximum combine into one probability.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .samples import labelled_ids, labelled_texts, remainder
 
-#: Bound of the fit: documents of each class, and chunks of each, spread over its whole text.
+#: Bound of the fit: documents of each class, each with its whole text.
 PER_CLASS = 1500
-FIT_CHUNKS = 8
 MODULUS, HELD_OUT = 5, 0
 WIDTH, FILTERS, EMBED = 8, 16, 8
 CHUNK, OVERLAP = 512, 32
 PIECE = 1 << 15
+#: Chunks that a training step holds at once.
+PART = 64
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 LEAST_STEPS = 900
@@ -61,45 +64,43 @@ class Network:
         return float(np.concatenate([hidden.mean(0), hidden.max(0)]) @ self.out + self.out_bias[0] + self.shift)
 
 
-def fit_chunks(data: bytes, chunks: int = FIT_CHUNKS) -> bytes:
-    """At most that many chunks of a text, spread evenly over all of it, one after the other; the last one may be short."""
+def chunked(data: bytes) -> np.ndarray:
+    """All overlapping chunks of a text, one per row, as codes; 256 pads. An empty text is one chunk of padding."""
     step = CHUNK - OVERLAP
-    n = max(1, -(-max(1, len(data) - OVERLAP) // step))
-    at = np.unique(np.linspace(0, n - 1, min(n, chunks)).astype(int)) * step
-    return b"".join(data[a : a + CHUNK].ljust(CHUNK, b"\0") if len(at) > 1 else data[a : a + CHUNK] for a in at.tolist())
+    raw = np.frombuffer(data, np.uint8)
+    n = max(1, -(-max(1, len(raw) - OVERLAP) // step))
+    padded = np.full(n * step + OVERLAP + WIDTH - 1, 256, np.int16)
+    padded[: len(raw)] = raw
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK + WIDTH - 1)[::step]
+
 
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Network:
+    """Adam on the log loss of whole documents; the gradient goes through the pooled maxima to the bytes that made them.
 
-def train(chunked: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Network:
-    """Adam on the log loss of whole documents; the gradient goes through the pooled maxima to the bytes that made them."""
+    A step reads every chunk of its documents: PART chunks at a time give each document's maxima and sums, and only the windows that made a maximum are kept for the gradient.
+    """
     net = Network(seed)
     rng = np.random.default_rng(seed)
-    codes = []
-    for c in chunked:
-        k = max(1, -(-len(c) // CHUNK))
-        x = np.full((k, CHUNK + WIDTH - 1), 256, np.int64)
-        flat = np.frombuffer(c, np.uint8)
-        for i in range(k):
-            part = flat[i * CHUNK : (i + 1) * CHUNK]
-            x[i, : len(part)] = part
-        x[(x == 0)] = 256
-        codes.append(x)
     names = ("embed", "filters", "bias", "out", "out_bias")
     moments = {n: [np.zeros_like(getattr(net, n)), np.zeros_like(getattr(net, n))] for n in names}
-    t, epochs = 0, max(epochs, -(-LEAST_STEPS * BATCH // len(codes)))
+    t, epochs = 0, max(epochs, -(-LEAST_STEPS * BATCH // len(texts)))
     for epoch in range(epochs):
-        order = rng.permutation(len(codes))
+        order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            x = np.concatenate([codes[i] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), [len(codes[i]) for i in pick])
+            chunks = [chunked(texts[i]) for i in pick]
+            owner = np.repeat(np.arange(len(pick)), [len(c) for c in chunks])
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             many = np.diff(np.append(first, len(owner)))[:, None].astype(np.float32)
-            tables = net.tables()
-            response = tables[0][x[:, :CHUNK]]
-            for w in range(1, WIDTH):
-                response += tables[w][x[:, w : w + CHUNK]]
-            where = response.argmax(1)  # chunks x filters
-            top = np.take_along_axis(response, where[:, None, :], 1)[:, 0] + net.bias
+            tables, tops, made = net.tables(), [], []
+            for x in (c[i : i + PART] for c in chunks for i in range(0, len(c), PART)):
+                response = tables[0][x[:, :CHUNK]]
+                for w in range(1, WIDTH):
+                    response += tables[w][x[:, w : w + CHUNK]]
+                where = response.argmax(1)  # chunks x filters
+                tops.append(np.take_along_axis(response, where[:, None, :], 1)[:, 0])
+                made.append(x[np.arange(len(x))[:, None, None], where[:, :, None] + np.arange(WIDTH)])
+            top, windows = np.concatenate(tops) + net.bias, np.concatenate(made)  # windows: chunks x filters x width
             hidden = np.maximum(top, 0)
             mean = np.add.reduceat(hidden, first) / many
             high = np.maximum.reduceat(hidden, first)
@@ -112,7 +113,6 @@ def train(chunked: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed:
             gh = gf[owner, :FILTERS] / many[owner] + gf[owner, FILTERS:] * is_top
             gh *= top > 0
             grads["bias"] = gh.sum(0)
-            windows = x[np.arange(len(x))[:, None, None], where[:, :, None] + np.arange(WIDTH)]  # chunks x filters x width
             e = net.embed[windows]
             grads["filters"] = np.einsum("cf,cfwe->wef", gh, e, optimize=True)
             ge = np.einsum("cf,wef->cfwe", gh, net.filters, optimize=True)
@@ -128,30 +128,40 @@ def train(chunked: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Network:
-    """Learns from at most per_class documents of each class that aren't held out. Without both classes every score is that of the class there is, or 0.5."""
+    """Learns from the whole texts of at most per_class documents of each class that aren't held out. Without examples of both classes (no labels, or no documents for them) every
+    score is the share of label 1 among the labels that aren't held out, or 0.5 without labels. Of documents with the same id the one of the least text is the example."""
     ids, counts = labelled_ids(labels, "quality", modulus, held_out, per_class)
-    if not counts.get(0) or not counts.get(1):
-        net = Network()
-        net.out[:] = 0
-        net.shift = 0.0 if not counts else 6.0 if counts.get(1) else -6.0
-        return net
 
-    def cut(frames):
-        import pandas as pd
+    def squeezed(batches):
+        import pyarrow as pa
 
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "data": [fit_chunks(t.encode()) for t in frame["text"]]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([zlib.compress(t.encode(), 1) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "y", "data"])
 
-    rows = sorted((r["doc_id"], r["y"], bytes(r["data"])) for r in labelled_texts(docs, ids).mapInPandas(cut, "doc_id bigint, y int, data binary").collect())
+    rows = labelled_texts(docs, ids).select("doc_id", "text", "y").mapInArrow(squeezed, "doc_id bigint, y int, data binary").collect()
+    rows = sorted((r["doc_id"], r["y"], zlib.decompress(r["data"])) for r in rows)
     y = np.array([r[1] for r in rows], np.float32)
+    if not 0 < y.sum() < len(y):
+        net, total = Network(), sum(counts.values())
+        share = float(np.clip(counts.get(1, 0) / total, 0.0025, 0.9975)) if total else 0.5
+        net.out[:] = 0
+        net.shift = float(np.log(share / (1 - share)))
+        return net
     net = train([r[2] for r in rows], y)
-    if 0 < y.sum() < len(y):  # the sample's classes are levelled; scores are for the shares of all labels
-        net.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    # the sample's classes are levelled; scores are for the shares of all labels
+    net.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return net
 
 
 def score_documents(docs: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted for every row, from its whole text. A null text counts as empty, which is scored as padding. No shuffle."""
+    """The kept columns, score (0 to 1) and predicted for every row, from its whole text. A null text counts as empty, which is scored as padding; a very long text is read in pieces.
+
+    Rows are scored one by one, so ties and repeats get equal scores; no rows give no rows. No shuffle. Columns that aren't kept are not read; a kept column of the name of a new one is refused.
+    """
+    if clash := {"score", "predicted"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} would be there twice")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def run(batches):
