@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, release, stored, text_of
 from .links import apart_pairs, components, merged_roots, star_pairs
-from .sketches import ERRORS, FULL, SAMPLE, SMALL, alike_buckets, alike_possible, rare_keys, shared_values, small_traits
+from .sketches import ERRORS, FULL, SMALL, alike_buckets, alike_possible, bound, rare_keys, seen, shared_values, small_traits
 from .texts import slices
 
 WORDS = 5
@@ -38,11 +38,6 @@ def jaccard_needed(threshold: float, q: int, u: int) -> float:
     return threshold * q / (q + u - threshold * q)
 
 
-def bound(p: int) -> float:
-    """The share of all hashes that the sample of a set of 2**p or more shingles takes."""
-    return 1.0 if p < FULL else min(1.0, SAMPLE / 2.0**p)
-
-
 def allowed(m, n, threshold: float = THRESHOLD, xp=np):
     """Of m sampled values of a set of n, how many its container may lack: exact if all are sampled, else with ERRORS standard errors."""
     whole = xp.floor(n * (1 - threshold) + 1e-9)
@@ -145,7 +140,7 @@ def small_set_filter(docs: DataFrame) -> np.ndarray:
     return out
 
 
-SAMPLE_SCHEMA = "doc_id bigint, h bigint, g bigint, n int, p int, m int, near int, upper int, s1 int, vals array<bigint>, small array<bigint>, large binary"
+SAMPLE_SCHEMA = "doc_id bigint, h bigint, g bigint, n int, p int, m int, near int, upper int, s0 int, s1 int, vals array<bigint>, small array<bigint>, large binary"
 
 
 def samples(docs: DataFrame) -> DataFrame:
@@ -165,12 +160,12 @@ def samples(docs: DataFrame) -> DataFrame:
         low = np.uint64(FILTER_BITS - 1)
         for batch in batches:
             for part in slices(batch, 2):
-                out = {k: [] for k in ("g", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large")}
+                out = {k: [] for k in ("g", "n", "p", "m", "near", "upper", "s0", "s1", "vals", "small", "large")}
                 for s in shingle_sets(part.column(2)):
                     n = len(s)
                     p = max(0, n.bit_length() - 1)
                     m, upper = _below(s, bound(p)), _below(s, bound(FULL))
-                    s1 = _below(s, bound(p - 1))
+                    near, s0, s1 = _below(s, bound(p - 1)), _below(s, seen(p)), _below(s, seen(p - 1))
                     if p >= FULL:
                         rest = s[upper:]
                         at = rest & low
@@ -182,17 +177,18 @@ def samples(docs: DataFrame) -> DataFrame:
                     out["n"].append(n)
                     out["p"].append(p)
                     out["m"].append(m)
-                    out["near"].append((len(vals) if p <= FULL else s1) - m)
+                    out["near"].append((len(vals) if p <= FULL else near) - m)
                     out["upper"].append(upper if p >= FULL else m)
+                    out["s0"].append(s0)
                     out["s1"].append(s1)
                     out["vals"].append(_signed(vals))
-                    out["small"] += [_bitmap(s[:m], SMALL), _bitmap(s[:s1], SMALL)]
+                    out["small"] += [_bitmap(s[:s0], SMALL), _bitmap(s[:s1], SMALL)]
                     out["large"].append(np.concatenate([_bitmap(s[: _below(s, 2.0 ** (FULL - max(p, FULL) - i))], LARGE) for i in range(3)]).tobytes())
                 lengths = np.cumsum([0, *map(len, out["vals"])])
-                arrays = [part.column(0), part.column(1), pa.array(out["g"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("n", "p", "m", "near", "upper", "s1"))]
+                arrays = [part.column(0), part.column(1), pa.array(out["g"], pa.int64()), *(pa.array(out[k], pa.int32()) for k in ("n", "p", "m", "near", "upper", "s0", "s1"))]
                 arrays += [pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(out["vals"]), pa.int64()))]
                 arrays += [pa.ListArray.from_arrays(pa.array(np.arange(len(out["n"]) + 1) * 2 * SMALL, pa.int32()), pa.array(np.concatenate(out["small"]).view(np.int64), pa.int64())), pa.array(out["large"], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "g", "n", "p", "m", "near", "upper", "s0", "s1", "vals", "small", "large"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
     return rows.mapInArrow(run, SAMPLE_SCHEMA)
@@ -332,8 +328,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = stored(samples(docs), "near-samples")
     slim = stored(rows.select("doc_id", "h", "g", "n"), "near-rows")
-    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "p", "m", "near", "upper", "s1", "vals", "small", "large")])
-    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "p", "m", "near", "upper", "s1", "vals", "small", "large"), "near-nodes")
+    sets = rows.groupBy(F.col("g").alias("id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f"), *[F.first(c).alias(c) for c in ("n", "p", "m", "near", "upper", "s0", "s1", "vals", "small", "large")])
+    sets = stored(sets.select("id", "f.doc_id", "f.h", "n", "p", "m", "near", "upper", "s0", "s1", "vals", "small", "large"), "near-nodes")
     discard(rows)
     release(docs.sparkSession)
     index = shared_values(sets, threshold)

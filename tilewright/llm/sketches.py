@@ -1,8 +1,8 @@
 """Candidate pairs from samples of sets: values below a bound that falls with a set's size, keys of the rarest of them, bitmaps. DataFrame functions only.
 
 Tables of sets have id, n (size), p (partition: 2**p <= n < 2**(p + 1)), vals (of the set's hashes those that others may look for: first the m below the bound of p, then, up to m + near,
-those below the bound of p - 1), upper (how many of the first are a wider sample, m if there is none), s1 (how many hashes are below the bound of p - 1) and small (the bitmaps of the first m
-and of the first s1 hashes, SMALL longs each).
+those below the bound of p - 1), upper (how many of the first are a wider sample, m if there is none), small (two bitmaps of SMALL longs: of the hashes below `seen(p)` of all and of those below
+`seen(p - 1)`), s0 and s1 (how many hashes these two stand for).
 """
 
 from __future__ import annotations
@@ -18,7 +18,19 @@ SAMPLE = 12
 FULL = 6
 #: Standard errors by which a sample may miss what its set promises.
 ERRORS = 2.6
-SMALL = 4  # longs of a small bitmap
+SMALL = 8  # longs of a small bitmap
+#: Least number of values that a small bitmap stands for, on average; all of a set of fewer.
+SEEN = 96
+
+
+def bound(p: int) -> float:
+    """The share of all hashes that the sample of a set of 2**p or more takes."""
+    return 1.0 if p < FULL else min(1.0, SAMPLE / 2.0**p)
+
+
+def seen(p: int) -> float:
+    """The share of all hashes that the small bitmap of such a set takes."""
+    return min(1.0, SEEN / 2.0**p)
 
 
 def _allowed_column(m: Column, n: Column, threshold: float) -> Column:
@@ -75,7 +87,7 @@ def alike_possible(threshold: float, glance: float | None = None):
         of = (a + b) / (1 + threshold)  # the union of sets of that Jaccard
         slack = (glance or ERRORS) * F.sqrt(of * (threshold * (1 - threshold))) + 1
         if glance is None:
-            slack = F.when(F.col("q") >= FULL, slack).otherwise(1e-9)
+            slack = F.when(F.pow(F.lit(2.0), F.col("q")) > SEEN, slack).otherwise(1e-9)
         return differ <= of * (1 - threshold) + slack
 
     return test
@@ -83,5 +95,5 @@ def alike_possible(threshold: float, glance: float | None = None):
 
 def small_traits(sets: DataFrame) -> DataFrame:
     """id, q, s and b0 to b3: a row for the set's own partition and one for that below it."""
-    each = F.array(*[F.struct((F.col("p") - i).alias("q"), F.col("s1" if i else "m").alias("s"), *[F.col("small")[SMALL * i + w].alias(f"b{w}") for w in range(SMALL)]) for i in range(2)])
+    each = F.array(*[F.struct((F.col("p") - i).alias("q"), F.col(f"s{i}").alias("s"), *[F.col("small")[SMALL * i + w].alias(f"b{w}") for w in range(SMALL)]) for i in range(2)])
     return sets.where("n > 0").select("id", F.explode(each).alias("x")).select("id", "x.*")
