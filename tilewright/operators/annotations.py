@@ -83,8 +83,22 @@ def paint_order(items: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return items.withColumn("paint", F.row_number().over(Window.partitionBy("slide").orderBy(rank, "pos", "id")))
 
 
+def places(ids: DataFrame, order: str) -> DataFrame:
+    """ids with place (from 0, by order) and total. Sorted by range; each range counts its rows, and only those counts meet in one task."""
+    rows = ids.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    ahead = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return rows.withColumn("_at", within).join(ahead, "_p").withColumn("place", F.col("_at") + F.col("_before")).drop("_p", "_at", "_before")
+
+
 def kfold(ids: DataFrame, k: int, by: str | None = None, order: str = "id") -> DataFrame:
-    """fold, id, role: contiguous folds in the order of ids, with by in each stratum; every id is test in one fold and train in the others."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(order)
-    own = ids.withColumn("_own", F.ntile(k).over(w) - 1)
+    """fold, id, role: contiguous folds in the order of ids, with by in each stratum; every id is test in one fold and train in the others. The first folds are one longer where k doesn't divide."""
+    if by:
+        own = ids.withColumn("_own", F.ntile(k).over(Window.partitionBy(by).orderBy(order)) - 1)
+    else:
+        longer, size = F.col("total") % k, F.floor(F.col("total") / k)
+        head = longer * (size + 1)
+        fold = F.when(F.col("place") < head, F.floor(F.col("place") / (size + 1))).otherwise(longer + F.floor((F.col("place") - head) / F.greatest(size, F.lit(1))))
+        own = places(ids, order).withColumn("_own", fold.cast("int")).drop("place", "total")
     return own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")

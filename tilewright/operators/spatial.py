@@ -19,12 +19,43 @@ def with_cells(df: DataFrame, cell: int = CELL, eps: float = 0) -> DataFrame:
     return df.withColumn("cx", F.explode(_cells(F.col("x"), F.col("w"), cell, eps))).withColumn("cy", F.explode(_cells(F.col("y"), F.col("h"), cell, eps)))
 
 
+def _level(size: Column, cell: float) -> Column:
+    """0 for sizes up to cell, 1 up to twice that, and so on."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1e-9)) / cell))).cast("int")
+
+
+def _levels(*frames: DataFrame) -> list[int]:
+    """The different levels there are: a few dozen at most, as each stands for twice the size."""
+    both = frames[0].select("level")
+    for f in frames[1:]:
+        both = both.unionByName(f.select("level"))
+    return sorted(r["level"] for r in both.distinct().collect() if r["level"] is not None)
+
+
 def rect_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("slide",), cell: int = CELL, eps: float = 0) -> DataFrame:
-    """Pairs of rectangles whose boxes meet, each once: l.* and r.* as structs. A pair comes out in the cell of its larger left and top edges only."""
-    a = with_cells(left, cell, eps).select(*by, "cx", "cy", F.struct(*left.columns).alias("l"))
-    b = with_cells(right, cell, eps).select(*by, "cx", "cy", F.struct(*right.columns).alias("r"))
-    at = lambda axis: F.greatest(F.floor((F.col(f"l.{axis}") - eps) / cell), F.floor((F.col(f"r.{axis}") - eps) / cell))
-    return a.join(b, [*by, "cx", "cy"]).where((F.col("cx") == at("x")) & (F.col("cy") == at("y"))).select("l", "r")
+    """Pairs of rectangles whose boxes meet, each once: l.* and r.* as structs.
+
+    A rectangle's level says how large cells it needs to touch few of them. It goes to the cells of its own level and of every coarser one that occurs, and two meet at the coarser of their
+    levels, in the cell of their larger left and top edges. So a giant rectangle is a few rows too.
+    """
+
+    level = _level(F.greatest("w", "h"), cell)
+    known = F.array(*[F.lit(n) for n in _levels(left.select(level.alias("level")), right.select(level.alias("level"))) or [0]])
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        rows = df.withColumn("_level", level).withColumn("_at", F.explode(F.filter(known, lambda n: n >= level))).withColumn("_size", F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_at")))
+        for c, v, n in (("_cx", "x", "w"), ("_cy", "y", "h")):
+            rows = rows.withColumn(c, F.explode(F.sequence(F.floor((F.col(v) - eps) / F.col("_size")), F.floor((F.col(v) + F.col(n) + eps) / F.col("_size")))))
+        return rows.select(*by, F.col("_at").alias("at"), F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), F.struct(*df.columns).alias(name), F.col("_level").alias(f"{name}_level"))
+
+    met = spread(left, "l").join(spread(right, "r"), [*by, "at", "cx", "cy"]).where(F.col("at") == F.greatest("l_level", "r_level"))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("at"))
+    edge = lambda axis: F.floor((F.greatest(F.col(f"l.{axis}"), F.col(f"r.{axis}")) - eps) / size)
+    meet = F.lit(True)
+    for v, n in (("x", "w"), ("y", "h")):
+        for one, other in (("l", "r"), ("r", "l")):
+            meet = meet & (F.col(f"{one}.{v}") - eps <= F.col(f"{other}.{v}") + F.col(f"{other}.{n}") + eps)
+    return met.where((F.col("cx") == edge("x")) & (F.col("cy") == edge("y")) & meet).select("l", "r")
 
 
 def sides(name: str) -> tuple:
@@ -77,18 +108,22 @@ def strip_of(items: DataFrame, strips: DataFrame) -> DataFrame:
     return pairs.where(hit).groupBy("r").agg(F.min("l.part").alias("part")).select("r.*", "part")
 
 
-def proximity(circles: DataFrame, within: float, cell: int = CELL) -> DataFrame:
-    """slide, a, b (a < b): distance of centroids less the radii, plus the mean sum of radii over all pairs, below within. circles: slide, id, x, y, r with r > 1.
+def proximity(circles: DataFrame, within: float) -> DataFrame:
+    """slide, a, b (a < b): distance of centroids less the radii, plus the mean sum of radii over all pairs, below within. circles: slide, id, x, y, r; those of r <= 1 count in the mean only.
 
-    The mean over all pairs of a slide is twice its mean radius; a cell is as wide as the furthest two can be apart, so three by three cells hold every partner.
+    The mean over all pairs of a slide is twice its mean radius. Two circles meet at the level of the larger one, where a cell is as wide as two of that level can be apart, so three
+    by three cells hold every partner, and a few large circles don't widen the cells of all others.
     """
-    circles = circles.where("r > 1")
-    means = circles.groupBy("slide").agg((2 * F.avg("r")).alias("m"), F.max("r").alias("most"))
-    c = circles.join(means, "slide").withColumn("reach", F.greatest(F.lit(1.0), F.lit(within) + 2 * F.col("most") - F.col("m")))
+    means = circles.groupBy("slide").agg((2 * F.avg("r")).alias("m"))
+    c = circles.where("r > 1").select("slide", "id", "x", "y", "r", _level(F.col("r"), 1.0).alias("level"))
+    known = F.array(*[F.lit(n) for n in _levels(c) or [0]])
+    c = c.join(means, "slide").withColumn("at", F.explode(F.filter(known, lambda n: n >= F.col("level"))))
+    c = c.withColumn("reach", F.greatest(F.lit(1.0), F.lit(within) + 2 * F.pow(F.lit(2.0), F.col("at")) - F.col("m")))
     c = c.withColumns({"cx": F.floor(F.col("x") / F.col("reach")), "cy": F.floor(F.col("y") / F.col("reach"))})
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    spread = c.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).select("slide", (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("br"))
-    near = c.join(spread, ["slide", "cx", "cy"]).where(F.col("id") < F.col("b"))
+    spread = c.withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
+    spread = spread.select("slide", "at", (F.col("cx") + F.col("i")).alias("cx"), (F.col("cy") + F.col("j")).alias("cy"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("br"), F.col("level").alias("b_level"))
+    near = c.join(spread, ["slide", "at", "cx", "cy"]).where((F.col("id") < F.col("b")) & (F.col("at") == F.greatest("level", "b_level")))
     gap = g.distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by")) - (F.col("r") + F.col("br") - F.col("m"))
     return near.where(gap < within).select("slide", F.col("id").alias("a"), "b")
 
@@ -103,11 +138,16 @@ def nearest_far(near: DataFrame, far: DataFrame, within: float) -> DataFrame:
     return pairs.groupBy("slide", "id").agg(F.min(F.struct("d", "far")).alias("m")).select("slide", "id", "m.far", "m.d")
 
 
-def interval_label(values: DataFrame, intervals: DataFrame, strict: bool = False) -> DataFrame:
-    """values with label: the interval (lo, hi, label; half open) that holds v. strict: closed at both ends, and a value in none or two raises."""
-    held = (F.col("v") >= F.col("lo")) & ((F.col("v") <= F.col("hi")) if strict else (F.col("v") < F.col("hi")))
-    found = values.join(F.broadcast(intervals), held, "left")  # a label table is a handful of rows
+def interval_label(values: DataFrame, intervals: DataFrame, strict: bool = False, most: int = 100_000) -> DataFrame:
+    """values with label: the interval (lo, hi, label; half open) that holds v. strict: closed at both ends, and a value in none or two raises; equal values don't matter.
+
+    The label table is counted before it is broadcast; one of more than `most` rows is refused.
+    """
+    if intervals.count() > most:
+        raise ValueError(f"a label table has at most {most} rows")
     if not strict:
-        return found.drop("lo", "hi")
-    n = F.count("label").over(Window.partitionBy(*values.columns))
-    return found.withColumn("label", F.when(n == 1, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no single label for "), F.col("v").cast("string"))))).drop("lo", "hi")
+        return values.join(F.broadcast(intervals), (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")), "left").drop("lo", "hi")
+    each = values.select(F.col("v").alias("own")).distinct()
+    found = each.join(F.broadcast(intervals), F.col("own").between(F.col("lo"), F.col("hi")), "left").groupBy("own").agg(F.count("label").alias("n"), F.min("label").alias("label"))
+    label = F.when(F.col("n") == 1, F.col("label")).otherwise(F.raise_error(F.concat(F.lit("no single label for "), F.coalesce(F.col("own").cast("string"), F.lit("null")))))
+    return values.join(found.select("own", label.alias("label")), F.col("v").eqNullSafe(F.col("own"))).drop("own")

@@ -108,7 +108,7 @@ def j1(spark, d):
 CIRCLES = "circles AS (SELECT id, slide, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, sqrt(w * h / pi()) AS r FROM rects)"
 
 
-@query("j7_proximity", f"WITH {RECTS}, {CIRCLES}, m AS (SELECT slide, 2 * avg(r) AS m FROM circles WHERE r > 1 GROUP BY 1) SELECT a.slide, a.id AS a, b.id AS b FROM circles a JOIN circles b ON a.slide = b.slide AND a.id < b.id JOIN m ON m.slide = a.slide WHERE a.r > 1 AND b.r > 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) - (a.r + b.r - m.m) < 8")
+@query("j7_proximity", f"WITH {RECTS}, {CIRCLES}, m AS (SELECT slide, 2 * avg(r) AS m FROM circles GROUP BY 1) SELECT a.slide, a.id AS a, b.id AS b FROM circles a JOIN circles b ON a.slide = b.slide AND a.id < b.id JOIN m ON m.slide = a.slide WHERE a.r > 1 AND b.r > 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) - (a.r + b.r - m.m) < 8")
 def j7(spark, d):
     c = rects(spark, d).select("slide", "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.sqrt(F.col("w") * F.col("h") / F.pi()).alias("r"))
     return sp.proximity(c, 8)
