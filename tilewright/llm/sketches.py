@@ -18,9 +18,9 @@ SAMPLE = 12
 FULL = 6
 #: Standard errors by which a sample may miss what its set promises.
 ERRORS = 2.6
-SMALL = 8  # longs of a small bitmap
+SMALL = 4  # longs of a small bitmap
 #: Least number of values that a small bitmap stands for, on average; all of a set of fewer.
-SEEN = 96
+SEEN = 64
 
 
 def bound(p: int) -> float:
@@ -50,7 +50,7 @@ def rare_keys(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def shared_values(sets: DataFrame, threshold: float) -> DataFrame:
-    """v, id, p, df, own, near, wide, low and lead for every value that two sets or more have been asked for: lead marks the keys of id.
+    """v, id, p, df, own, near, wide, low and lead for every value that two sets or more have been asked for: lead marks the keys of id for a Jaccard of threshold.
 
     own: v is in id's sample; near: below the bound of p - 1; wide: in the wide sample; low: id is small enough to be alike to a set of partition p - 1.
     """
@@ -62,7 +62,8 @@ def shared_values(sets: DataFrame, threshold: float) -> DataFrame:
     has = lambda name, bit: (F.col("flags").bitwiseAND(bit) != 0).alias(name)
     rows = values.join(often.hint("shuffle_hash"), "v").select("v", "id", "df", F.floor(F.col("flags") / 32).cast("int").alias("p"), has("own", 1), has("near", 2), has("low", 8), has("wide", 16))
     rows = stored(rows, "near-values")
-    keys = rare_keys(rows, sets, threshold).withColumn("lead", F.lit(True))
+    # a Jaccard of t holds 2 t / (1 + t) of the smaller set in the larger one
+    keys = rare_keys(rows, sets, 2 * threshold / (1 + threshold)).withColumn("lead", F.lit(True))
     out = stored(rows.join(keys, ["v", "id"], "left").withColumn("lead", F.coalesce("lead", F.lit(False))), "near-index")
     discard(rows)
     return out
