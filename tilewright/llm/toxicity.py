@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibrated.
 
 Terms are lower-cased words and four-letter beginnings of words. The vocabulary doesn't look at labels: it holds the terms that a share between LEAST and MOST of all documents has. What
-rarer terms would add are chance meetings of names; the commonest are of no weight. A term weighs its count times the square of its idf over all documents, and more if the examples'
+rarer terms would add are chance meetings of names; the commonest are of no weight. A term weighs its count times the third power of its idf over all documents, and more if the examples'
 labels differ in it beyond chance; none weighs less. Examples of both labels are indexed with all their terms of the vocabulary.
 """
 
@@ -24,10 +24,14 @@ MODULUS, HELD_OUT = 4, 2
 NEIGHBOURS = 15
 #: Standard errors by which the best of some thousand terms differs between labels by chance.
 CHANCE = 4.0
-BLOCK = 64
+BLOCK = 32
+#: Share of the examples that a term's list may have to be read whole.
+LONG = 0.15
 THRESHOLD = 0.3
 MASS = 0.25
 BEGIN = 4
+#: Of the idf in a term's weight.
+POWER = 3
 NO_WORD = r"[^\pL\pN_]+"
 
 
@@ -73,6 +77,10 @@ class Index:
         self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.most = np.zeros((len(terms), self.blocks))
         np.maximum.at(self.most, (term, where // BLOCK), value)
+        self.block_of = np.arange(len(rows)) // BLOCK
+        long = np.diff(self.start)[term] > LONG * len(rows)  # where is ascending, so these are vectors by example
+        self.forward = np.searchsorted(where[long], np.arange(len(rows) + 1))
+        self.forward_term, self.forward_value = term[long], value[long]
         self.slope, self.offset = 1.0, 0.0
 
     def unit(self, counts: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,39 +95,46 @@ class Index:
     def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: int | None = None) -> list[tuple[float, int, float]]:
         """The k examples of largest cosine above 0: (cosine, doc_id, label), ties to the smaller doc_id.
 
-        The blocks of the highest bounds are scored first; of the others only those whose bound reaches what the k-th best has by then.
+        Lists of the rarer terms are read whole. The others are looked at only for examples whose block's bound, with what they have by then, reaches what the k-th best has.
         """
         ts, ws = vector
         if not len(ts) or not len(self.ids):
             return []
-        bounds = ws @ self.most[ts]
-        a, b = self.start[ts], self.start[ts + 1]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange(int((b - a).sum()))
-        post, value = self.post[at], self.value[at] * np.repeat(ws, b - a)
-        first = max(1, -(-2 * k // BLOCK)) + 1
-        rank = np.argsort(-bounds, kind="stable")
-        chosen = np.zeros(self.blocks, bool)
-        chosen[rank[:first]] = True
-
-        def scored(blocks: np.ndarray) -> np.ndarray:
-            mine = blocks[post // BLOCK]
-            return np.bincount(post[mine], value[mine], len(self.ids))
-
-        scores = scored(chosen)
+        # terms with long lists only bound a block at first: ws @ most is what they can add to any of its examples
+        short = self.start[ts + 1] - self.start[ts] <= LONG * len(self.ids)
+        scores = self._sum(ts[short], ws[short])
+        if not short.all():
+            more = ws[~short] @ self.most[ts[~short]]
+            top = scores if without is None else np.where(self.ids == without, 0, scores)
+            floor = np.partition(top, -k)[-k] if len(top) >= k else 0.0
+            at = np.flatnonzero(scores + more[self.block_of] >= floor - 1e-9)
+            query = np.zeros(len(self.terms))
+            query[ts[~short]] = ws[~short]
+            scores = np.where(scores + more[self.block_of] >= floor - 1e-9, scores, 0)
+            scores[at] += self._dots(at, query)
         if without is not None:
             scores[self.ids == without] = 0
-        floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = (bounds > 0) & (bounds >= floor - 1e-9) & ~chosen
-        if rest.any():
-            scores += scored(rest)
-            if without is not None:
-                scores[self.ids == without] = 0
         found = np.flatnonzero(scores > 0)
         if len(found) > 4 * k:
             found = found[scores[found] >= np.partition(scores[found], -k)[-k] - 1e-9]
         best = sorted((-round(s, 12), d, y) for s, d, y in zip(scores[found].tolist(), self.ids[found].tolist(), self.labels[found].tolist(), strict=True))[:k]
         return [(-s, d, y) for s, d, y in best]
 
+    def _sum(self, ts: np.ndarray, ws: np.ndarray) -> np.ndarray:
+        """What these terms' lists add to each example."""
+        a, n = self.start[ts], self.start[ts + 1] - self.start[ts]
+        lists = [slice(i, i + k) for i, k in zip(a.tolist(), n.tolist(), strict=True)]
+        if not lists:
+            return np.zeros(len(self.ids))
+        values = np.concatenate([self.value[x] for x in lists]) * np.repeat(ws, n)
+        return np.bincount(np.concatenate([self.post[x] for x in lists]), values, len(self.ids)).astype(float)
+
+    def _dots(self, examples: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Products of these examples' long-list terms with a query."""
+        a, n = self.forward[examples], self.forward[examples + 1] - self.forward[examples]
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(np.repeat(np.arange(len(examples)), n), query[self.forward_term[at]] * self.forward_value[at], len(examples)).astype(float)
+
     def vote(self, near: list[tuple[float, int, float]]) -> float:
         """Votes weighted by cosine; MASS of weight votes for nothing."""
         weight = sum(s for s, _, _ in near)
@@ -204,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
     """
     ids, counts = labelled_ids(labels, "toxic", modulus, held_out, per_class)
     terms, idf, _ = frequent_terms(docs)
-    bare = Index(terms, np.square(idf), [])
+    bare = Index(terms, np.power(idf, POWER), [])
     known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def vectors(batches):
@@ -225,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
         bare.slope, bare.offset = 0.0, float(np.clip(np.log(max(share, 1e-18)) - np.log(max(1 - share, 1e-18)), -40, 40))
         return bare
     examples = sorted((r["doc_id"], r["y"], dict(zip(r["ts"], r["ns"], strict=True))) for r in rows)
-    index = Index(terms, np.square(idf) * relevance(len(terms), examples), examples)
+    index = Index(terms, np.power(idf, POWER) * relevance(len(terms), examples), examples)
     votes = np.array([index.vote(index.nearest(index.unit(c), without=d)) for d, _, c in examples])
     ys = np.array([y for _, y, _ in examples], np.float64)
     share = {y: counts[y] / n[y] for y in (0, 1)}  # the sample's classes weigh as in all labels
