@@ -92,10 +92,10 @@ def a17(spark, d):
     return sp.strip_of(r.select("slide", "id", "x", "y", "w", "h"), an.strips(regions, 5)).select("slide", "id", "part")
 
 
-@query("f5_origins_in_boxes", f"WITH {RECTS}, {TILES}, small AS (SELECT *, id AS rid FROM rects WHERE id % 3 = 0) SELECT DISTINCT t.slide, t.id, t.x, t.y FROM rects t JOIN small s ON t.slide = s.slide AND t.x BETWEEN s.x AND s.x + s.w AND t.y BETWEEN s.y AND s.y + s.h")
+@query("f5_origins_in_boxes", f"WITH {RECTS}, {TILES}, small AS (SELECT *, id AS rid FROM rects WHERE layer = 'O') SELECT DISTINCT t.slide, t.id, t.x, t.y FROM rects t JOIN small s ON t.slide = s.slide AND t.x BETWEEN s.x AND s.x + s.w AND t.y BETWEEN s.y AND s.y + s.h")
 def f5(spark, d):
     r = rects(spark, d)
-    return sp.origins_in_boxes(r.select("slide", "id", "x", "y"), r.where("id % 3 = 0"))
+    return sp.origins_in_boxes(r.select("slide", "id", "x", "y"), r.where("layer = 'O'"))
 
 
 @query("j1_common_slides", f"WITH {RECTS} SELECT a.slide, a.n AS n_f, b.n AS n_o FROM (SELECT slide, count(*) AS n FROM rects WHERE layer = 'F' GROUP BY 1) a JOIN (SELECT slide, count(*) AS n FROM rects WHERE layer = 'O' GROUP BY 1) b ON a.slide = b.slide")
@@ -231,16 +231,16 @@ def a16(spark, d):
     return an.split_size(rects(spark, d), 50).select("slide", "layer", "pos", "part")
 
 
-@query("a4_concatenate", f"WITH {RECTS}, a AS (SELECT slide, layer, pos FROM rects WHERE id % 2 = 0), b AS (SELECT slide, layer, pos FROM rects WHERE id % 5 = 1), c AS (SELECT slide FROM a INTERSECT SELECT slide FROM b), u AS (SELECT 0 AS s, * FROM a UNION ALL SELECT 1, * FROM b) SELECT slide, layer, pos AS old, row_number() OVER (PARTITION BY slide, layer ORDER BY s, pos) - 1 AS pos FROM u WHERE slide IN (SELECT slide FROM c)")
+@query("a4_concatenate", f"WITH {RECTS}, a AS (SELECT slide, layer, pos FROM rects WHERE layer <> 'O'), b AS (SELECT slide, layer, pos FROM rects WHERE layer <> 'F'), c AS (SELECT slide FROM a INTERSECT SELECT slide FROM b), u AS (SELECT 0 AS s, * FROM a UNION ALL SELECT 1, * FROM b) SELECT slide, layer, pos AS old, row_number() OVER (PARTITION BY slide, layer ORDER BY s, pos) - 1 AS pos FROM u WHERE slide IN (SELECT slide FROM c)")
 def a4(spark, d):
     r = rects(spark, d).select("slide", "layer", "pos", F.col("pos").alias("old"))
-    return an.concatenate(r.where("old % 2 = 0"), r.where("old % 5 = 1")).select("slide", "layer", "old", "pos")
+    return an.concatenate(r.where("layer <> 'O'"), r.where("layer <> 'F'")).select("slide", "layer", "old", "pos")
 
 
-@query("a4_concatenate_renamed", f"WITH {RECTS}, a AS (SELECT slide, layer, pos FROM rects WHERE id % 2 = 0), b AS (SELECT slide, layer || '_second' AS layer, pos FROM rects WHERE id % 5 = 1), u AS (SELECT 0 AS s, * FROM a WHERE slide IN (SELECT slide FROM b) UNION ALL SELECT 1, * FROM b WHERE slide IN (SELECT slide FROM a)) SELECT slide, layer, count(*) AS n FROM u GROUP BY 1, 2")
+@query("a4_concatenate_renamed", f"WITH {RECTS}, a AS (SELECT slide, layer, pos FROM rects WHERE layer <> 'O'), b AS (SELECT slide, layer || '_second' AS layer, pos FROM rects WHERE layer <> 'F'), u AS (SELECT 0 AS s, * FROM a WHERE slide IN (SELECT slide FROM b) UNION ALL SELECT 1, * FROM b WHERE slide IN (SELECT slide FROM a)) SELECT slide, layer, count(*) AS n FROM u GROUP BY 1, 2")
 def a4_renamed(spark, d):
     r = rects(spark, d).select("slide", "layer", "pos")
-    return an.concatenate(r.where("pos % 2 = 0"), r.where("pos % 5 = 1"), False, "second").groupBy("slide", "layer").agg(F.count("*").alias("n"))
+    return an.concatenate(r.where("layer <> 'O'"), r.where("layer <> 'F'"), False, "second").groupBy("slide", "layer").agg(F.count("*").alias("n"))
 
 
 @query("a5_rename_layer", f"WITH {RECTS} SELECT CASE WHEN layer = 'F' THEN 'tumour' ELSE layer END AS layer, count(*) AS n FROM rects GROUP BY 1")
@@ -451,10 +451,9 @@ def c8(spark, d):
     return table(spark, d, "orders").groupBy((F.lower(text) == "true").alias("urgent")).agg(F.count("*").alias("n"))
 
 
-@query("r13_argmax", "SELECT vec_id AS id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS INT) AS channel FROM embeddings")
+@query("r13_argmax", "SELECT vec_id AS id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS channel FROM embeddings")
 def r13(spark, d):
-    four = F.slice("embedding", 1, 4)
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.array_position(four, F.array_max(four)) - 1).cast("int").alias("channel"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.array_position("embedding", F.array_max("embedding")) - 1).cast("int").alias("channel"))
 
 
 @query("r4_threshold", "SELECT v, CASE WHEN v IN (20, 30, 40) THEN 1 ELSE 0 END AS m, count(*) AS n FROM (SELECT CAST(l_quantity AS INT) AS v FROM lineitem) GROUP BY 1, 2")
