@@ -102,3 +102,45 @@ def kfold(ids: DataFrame, k: int, by: str | None = None, order: str = "id") -> D
         fold = F.when(F.col("place") < head, F.floor(F.col("place") / (size + 1))).otherwise(longer + F.floor((F.col("place") - head) / F.greatest(size, F.lit(1))))
         own = places(ids, order).withColumn("_own", fold.cast("int")).drop("place", "total")
     return own.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("role", F.when(F.col("fold") == F.col("_own"), "test").otherwise("train")).drop("_own")
+
+
+def add_items(items: DataFrame, new: DataFrame) -> DataFrame:
+    """items with those of new (slide, layer and item columns but pos) behind the last of their layer; a layer that isn't there yet begins at 0. A null class is the layer's name."""
+    last = items.groupBy("slide", "layer").agg((F.max("pos") + 1).alias("_next"))
+    order = F.row_number().over(Window.partitionBy("slide", "layer").orderBy(*[c for c in ("rank", "class") if c in new.columns] or ["layer"])) - 1
+    added = new.withColumn("_k", order).join(last, ["slide", "layer"], "left").withColumn("pos", (F.coalesce("_next", F.lit(0)) + F.col("_k")).cast(items.schema["pos"].dataType))
+    added = added.withColumn("class", F.coalesce("class", "layer")) if "class" in added.columns else added
+    return items.unionByName(added.drop("_k", "_next", "rank"), allowMissingColumns=True)
+
+
+def replace_last(items: DataFrame, points: DataFrame) -> DataFrame:
+    """items whose last one of each layer has the points of points (slide, layer, points)."""
+    last = Window.partitionBy("slide", "layer")
+    rows = items.withColumn("_last", F.col("pos") == F.max("pos").over(last)).join(points.withColumnRenamed("points", "_points"), ["slide", "layer"], "left")
+    return rows.withColumn("points", F.when(F.col("_last") & F.col("_points").isNotNull(), F.col("_points")).otherwise(F.col("points"))).select(*items.columns)
+
+
+def layer_index(layers: DataFrame, name: str) -> DataFrame:
+    """slide, layer_idx of the first layer of that name; slides without one raise. layers: slide, layer_idx, layer."""
+    found = layers.groupBy("slide").agg(F.min(F.when(F.col("layer") == name, F.col("layer_idx"))).alias("layer_idx"))
+    return found.select("slide", F.when(F.col("layer_idx").isNotNull(), F.col("layer_idx")).otherwise(F.raise_error(F.concat(F.lit(f"no layer {name} in "), F.col("slide")))).cast("int").alias("layer_idx"))
+
+
+def contents(layers: DataFrame, items: DataFrame) -> DataFrame:
+    """slide, layers, items, empty: how many layers and items a slide has, and whether it has none of the latter."""
+    n = items.groupBy("slide").agg(F.count("*").alias("items"))
+    return layers.groupBy("slide").agg(F.count("*").alias("layers")).join(n, "slide", "left").fillna(0, ["items"]).withColumn("empty", F.col("items") == 0)
+
+
+def whole_reviews(parts: DataFrame, num_splits: int) -> DataFrame:
+    """parts (name, ...) of slides with exactly num_splits part files; another number raises."""
+    stem = F.regexp_replace("name", r"_\d+\.json$", "")
+    counts = parts.where(F.col("name").rlike(r"_\d+\.json$")).groupBy(stem.alias("_stem")).agg(F.count_distinct("name").alias("_n"))
+    ok = F.when(F.col("_n") == num_splits, True).otherwise(F.raise_error(F.concat(F.lit("wrong number of parts of "), F.col("_stem"))))
+    return parts.withColumn("_stem", stem).join(counts, "_stem").where(ok).drop("_stem", "_n")
+
+
+def with_layer_order(items: DataFrame) -> DataFrame:
+    """items with layer_idx: layers numbered by name within each slide."""
+    layers = items.select("slide", "layer").distinct().withColumn("layer_idx", F.row_number().over(Window.partitionBy("slide").orderBy("layer")) - 1)
+    return items.join(layers, ["slide", "layer"])

@@ -57,10 +57,45 @@ def items(documents: DataFrame) -> DataFrame:
 def to_documents(rows: DataFrame, project: str) -> DataFrame:
     """slide, json: one document per slide. Two layers of the same name in one slide raise."""
     twice = F.count("*").over(Window.partitionBy("slide", "layer"))
-    item = F.struct("class", "type", "closed", F.transform("points", lambda p: F.struct(p.alias("point"))).alias("segments"), "x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
+    # null fields are left out of the JSON, so that circles have centre and radius, rectangles their sides, and paths their points only
+    centre = F.when(F.col("cx").isNotNull(), F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).alias("center") if "cx" in rows.columns else F.lit(None).cast("string").alias("center")
+    colour, radius = (F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("color", "r"))
+    item = F.struct("class", "type", "closed", colour.alias("color"), centre, radius.alias("radius"), F.transform("points", lambda p: F.struct(p.alias("point"))).alias("segments"), "x", "y", F.col("w").alias("width"), F.col("h").alias("height"))
     layers = rows.groupBy("slide", "layer_idx", "layer").agg(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))).alias("is"))
     layers = layers.withColumn("layer", F.when(twice == 1, F.col("layer")).otherwise(F.raise_error(F.concat(F.lit("layer named twice: "), "layer"))))
     layer = F.struct("layer_idx", F.struct(F.col("layer").alias("name"), F.lit(1.0).alias("opacity"), F.transform("is", lambda x: x["i"]).alias("items")).alias("l"))
     docs = layers.groupBy("slide").agg(F.transform(F.sort_array(F.collect_list(layer)), lambda x: x["l"]).alias("layers"))
     names = F.transform("layers", lambda x: x["name"])
     return docs.select("slide", F.to_json(F.struct(F.col("slide").alias("slide_id"), F.lit(project).alias("project_name"), names.alias("layer_names"), "layers")).alias("json"))
+
+
+def file_name(slide: str, name: str = "", suffix_to_remove: tuple[str, ...] = (), rewrite: bool = False) -> str:
+    """The file of a slide's document: suffixes go, then name is put behind it with an underscore, or in its place."""
+    for suffix in suffix_to_remove:
+        slide = slide.removesuffix(suffix)
+    return f"{name if name and rewrite else '_'.join(x for x in (slide, name) if x)}.json"
+
+
+def write_documents(rows: DataFrame, path: str, project: str, name: str = "", suffix_to_remove: tuple[str, ...] = (), rewrite: bool = False) -> list[str]:
+    """Writes a JSON file for each slide into path, through the file system that path belongs to, and returns their names. Two slides of the same file name raise, as do two layers of the same name."""
+    spark = rows.sparkSession
+    docs = to_documents(rows, project).checkpoint()
+    names = [file_name(r["slide"], name, suffix_to_remove, rewrite) for r in docs.select("slide").orderBy("slide").toLocalIterator()]
+    if len(set(names)) < len(names):
+        raise ValueError("two slides would be written to the same file")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path)
+    for r in docs.toLocalIterator():  # one document in the driver at a time
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(fs_path, file_name(r["slide"], name, suffix_to_remove, rewrite)), True)
+        try:
+            out.write(r["json"].encode())
+        finally:
+            out.close()
+    return names
+
+
+def missing_metadata(documents: DataFrame, needed: tuple[str, ...] = ("tile_rect",)) -> DataFrame:
+    """slide, missing: which of the needed keys a document's data lacks; slides that lack none are left out."""
+    lacks = F.array_compact(F.array(*[F.when(F.col("data").isNull() | ~F.coalesce(F.map_contains_key("data", k), F.lit(False)), F.lit(k)) for k in needed]))
+    return documents.select(F.col("slide_id").alias("slide"), lacks.alias("missing")).where(F.size("missing") > 0)
