@@ -19,7 +19,7 @@ PER_CLASS = 2000
 #: Shares of all documents between which a term is in the vocabulary: so it has at most 1 / LEAST times the different terms of a document on average.
 LEAST, MOST = 0.01, 0.5
 #: Documents and bytes of a chunk when frequent terms are looked for.
-CHUNK, CHUNK_BYTES = 2048, 4 << 20
+CHUNK, CHUNK_BYTES = 2048, 2 << 20
 MODULUS, HELD_OUT = 4, 2
 NEIGHBOURS = 15
 #: Standard errors by which the best of some thousand terms differs between labels by chance.
@@ -256,8 +256,13 @@ def score_documents(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc
     """
     if clash := {"score", "predicted", "evidence_ids", "evidence_scores"} & set(keep):
         raise ValueError(f"columns {sorted(clash)} would be there twice")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    shipped = docs.sparkSession.sparkContext.broadcast(index)  # its size is bounded by the fit's parameters
+    return _scored(docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text")), index, keep, threshold, lambda part: part.column(len(keep)))
+
+
+def _scored(rows: DataFrame, index: Index, keep: tuple[str, ...], threshold: float, text_of) -> DataFrame:
+    """The first columns of rows, by keep, and what score_documents adds; text_of takes the texts from an Arrow batch."""
+    fields = [f"`{k}` {f.dataType.simpleString()}" for k, f in zip(keep, rows.schema, strict=False)]
+    shipped = rows.sparkSession.sparkContext.broadcast(index)  # its size is bounded by the fit's parameters
 
     def run(batches):
         import pyarrow as pa
@@ -265,8 +270,12 @@ def score_documents(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc
         index = shipped.value
         vocabulary, none = pa.array(index.terms, pa.string()), index.score(0.0)
         for batch in batches:
-            for part in slices(batch, len(keep), CHUNK):
-                doc, term, count, _ = term_counts(part.column(len(keep)), vocabulary)
+            texts = pa.record_batch([text_of(batch).fill_null("")], names=["text"])
+            at_row = 0
+            for piece in slices(texts, 0, CHUNK):
+                part = batch.slice(at_row, piece.num_rows)
+                at_row += piece.num_rows
+                doc, term, count, _ = term_counts(piece.column(0), vocabulary)
                 at = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
                 scores, ids, sims = [], [], []
                 for i in range(part.num_rows):
@@ -277,14 +286,19 @@ def score_documents(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc
                 columns = [*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted", "evidence_ids", "evidence_scores"])
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_text"))
     return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "evidence_ids array<bigint>", "evidence_scores array<double>"]))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with its columns, whatever their names."""
-    packed = docs.select(F.struct("*").alias("row"), "text")
-    return score_documents(packed, fit(docs, labels), keep=("row",)).where("predicted = 0").select("row.*")
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with its columns, whatever their names. Each text goes to Python once, within its row."""
+    packed = docs.select(F.struct("*").alias("row"))
+
+    def text_of(batch):
+        import pyarrow.compute as pc
+
+        return pc.struct_field(batch.column(0), "text")
+
+    return _scored(packed, fit(docs, labels), ("row",), threshold, text_of).where("predicted = 0").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
