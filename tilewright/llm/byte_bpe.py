@@ -124,7 +124,8 @@ def encode_documents(docs: DataFrame, ranks_path: str | None = None, pattern: st
     """Encodes and decodes every whole text. Returns the kept columns, n_tokens, ids_sha256, decoded_sha256, and with_ids also ids (binary).
 
     A null text counts as empty: no tokens and the digests of no bytes. Rows are taken one by one, so ties, repeats and null ids
-    stay as they are; columns that are neither kept nor the text are not read. No shuffle: each scan task encodes what it reads.
+    stay as they are; columns that are neither kept nor the text are not read, and kept ones may have any name but those of the results. A very long text is encoded
+    whole, piece by piece; no rows give no rows. No shuffle: each scan task encodes what it reads.
     """
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]

@@ -13,7 +13,7 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
+    """The folder that driver and executors share. Where none is set, a local session gets a temporary one, and any other is refused: executors wouldn't see it."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if base is None:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         if jdir.isDefined():
             base = jdir.get()
         else:
+            if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="tilewright-")
             sc.setCheckpointDir(base)
     return base.rstrip("/")

@@ -149,7 +149,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has the last third of the code points replaced by as many (or all) first ones of the next document by descending doc_id; after the last comes
     the first, so a single document follows itself. A null text is empty: no units, and two texts without units have likeness 1. A null doc_id comes last.
-    Rows equal in doc_id and text count as one in that order and all get its result; rows with equal doc_id and different texts are ordered by the texts' hash.
+    Rows equal in doc_id and text count as one in that order and all get its result; rows with equal doc_id and different texts are ordered by the texts' hash. A very long text is
+    sketched in shards; a text without white space is one unit. No rows give no rows. Only doc_id and text are read, so other columns' names can't clash.
     """
     base = docs.select("doc_id", text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     order = followers(base.withColumn("n_chars", F.char_length("text").cast("long")).select("doc_id", "h", "n_chars"))
