@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import values as v
 from ..operators import annotations as an
 from ..operators import grids as gr
 from ..operators import spatial as sp
@@ -461,3 +462,55 @@ def r4(spark, d):
     above = [40, 30, 20]  # the value asked for and all above it
     v = F.col("l_quantity").cast("int")
     return table(spark, d, "lineitem").groupBy(v.alias("v"), F.when(v.isin(above), 1).otherwise(0).alias("m")).agg(F.count("*").alias("n"))
+
+
+# -- values and contents ------------------------------------------------------------------------------------------------------
+
+
+@query("e7_mask_coordinates", f"WITH {SLIDES} SELECT slide, CAST(floor(8.5 * width * 0.25) AS BIGINT) AS up, CAST(floor(0.125 * height) AS BIGINT) AS down FROM slides")
+def e7(spark, d):
+    return slides(spark, d).select("slide", v.mask_to_slide(F.col("width"), 8.5, 2).alias("up"), v.slide_to_mask(F.col("height"), 0.125).alias("down"))
+
+
+@query("e8_thumbnails", f"WITH {SLIDES}, m AS (SELECT *, greatest(width, height) AS most FROM slides) SELECT slide, CAST(CASE WHEN width = most THEN 128 ELSE floor(width / most * 128) END AS INT) AS w, CAST(CASE WHEN height = most THEN 128 ELSE floor(height / most * 128) END AS INT) AS h, CAST(floor(log2(most / 128)) AS INT) AS below FROM m")
+def e8(spark, d):
+    return slides(spark, d).select("slide", v.thumbnail(F.col("width"), F.col("height"), 128).alias("t")).select("slide", "t.*")
+
+
+@query("e12_intensities", "WITH s AS (SELECT vec_id AS id, label, list_sum(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) AS s FROM embeddings), e AS (SELECT label, min(s) AS lo, quantile_cont(s, 0.99) AS hi FROM s GROUP BY 1) SELECT id, round(coalesce(greatest(0.0, least(1.0, (s - lo) / nullif(hi - lo, 0))), 0.0), 6) AS intensity FROM s JOIN e USING (label)")
+def e12(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return v.intensities(rows, "embedding", "label").select("id", F.round("intensity", 6).alias("intensity"))
+
+
+@query("f4_contents", f"WITH {RECTS} SELECT slide, count(DISTINCT layer) AS layers, count(*) AS items, count(*) = 0 AS empty FROM rects GROUP BY 1")
+def f4(spark, d):
+    r = rects(spark, d)
+    return an.contents(r.select("slide", "layer").distinct(), r)
+
+
+@query("f13_whole_numbers", "SELECT p_partkey AS id, regexp_matches(trim(s), '^[+-]?[0-9]+$') AS whole FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN ' -7 ' WHEN 2 THEN '1.5' ELSE p_name END AS s FROM part)")
+def f13(spark, d):
+    k = F.col("p_partkey")
+    s = F.when(k % 4 == 0, k.cast("string")).when(k % 4 == 1, " -7 ").when(k % 4 == 2, "1.5").otherwise(F.col("p_name"))
+    return table(spark, d, "part").select(k.alias("id"), v.is_int(s).alias("whole"))
+
+
+@query("a2_add_items", f"WITH {RECTS}, new AS (SELECT slide, 'F' AS layer, count(*) AS k FROM rects WHERE layer = 'O' GROUP BY 1), old AS (SELECT slide, max(pos) + 1 AS nxt, count(*) AS n FROM rects WHERE layer = 'F' GROUP BY 1) SELECT slide, coalesce(n, 0) + k AS n, coalesce(nxt, 0) + k - 1 AS last FROM new LEFT JOIN old USING (slide)")
+def a2(spark, d):
+    r = rects(spark, d).select("slide", "layer", "pos", F.col("id").alias("rank"), F.col("layer").alias("class"))
+    added = an.add_items(r.drop("rank"), r.where("layer = 'O'").drop("pos").withColumn("layer", F.lit("F")))
+    slides_of = r.where("layer = 'O'").select("slide").distinct()
+    return added.where("layer = 'F'").join(slides_of, "slide").groupBy("slide").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query("a7_first_layer", f"WITH {RECTS}, l AS (SELECT slide, layer, row_number() OVER (PARTITION BY slide ORDER BY layer) - 1 AS layer_idx FROM (SELECT DISTINCT slide, layer FROM rects)) SELECT slide, CAST(min(layer_idx) AS INT) AS layer_idx FROM l WHERE layer = 'O' GROUP BY 1")
+def a7(spark, d):
+    layers = an.with_layer_order(rects(spark, d).select("slide", "layer").distinct())
+    having = layers.where("layer = 'O'").select("slide")
+    return an.layer_index(layers.join(having, "slide", "left_semi"), "O")
+
+
+@query("k1_places", "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS total FROM customer")
+def places(spark, d):
+    return an.places(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), "id").select("id", "place", "total")
