@@ -22,8 +22,8 @@ from .texts import slices
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Bits of the filter that holds the shingles of sets sampled whole. Its size is fixed (32 MB): more of them only let more values of larger sets through, none is lost.
-FILTER_BITS = 1 << 28
+#: Bits of the filter that holds the shingles of sets sampled whole. Its size is fixed (8 MB): more of them only let more values of larger sets through, none is lost.
+FILTER_BITS = 1 << 26
 LARGE = 16  # longs of the large bitmaps
 #: What stands between words: anything but letters, numerals and underscores.
 NO_WORD = r"[^\pL\pN_]+"
