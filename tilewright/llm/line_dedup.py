@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line's shingles are its windows of five lower-cased characters, one from every character on; a shorter line is one shingle. For the signature the line is taken as runs of characters of
-about twice that: each word with the one behind it (and, in long runs without white space, eight characters from every character on). Their hashes fall into eight ranges; the least hash of each
-range is the signature, and every two ranges that follow one another make a band. A bucket's lines are first held against one of them, and those of exact Jaccard 0.8 or more are linked.
-Buckets whose lines are then still in different components (lines that share a passage) have their lines' shingles sampled: lines that share one of the rarest sampled values (see `sketches`)
-are held against each other. Union-find joins all links into components, and the first line of each component stays.
+A line's shingles are its windows of five lower-cased characters, one from every character on; a shorter line is one shingle. Signature and exact Jaccard are of the same shingles: the hash of
+each falls into one of BANDS * ROWS bins, the least hash of each bin is the signature (one permutation; a bin without any counts as equal to another such), and ROWS bins make a band. A
+bucket's lines are first held against one of them, and those of exact Jaccard 0.8 or more are linked. Of lines that share a bucket and are then still in different components every pair is held
+against each other, by the exact Jaccard again. Union-find joins all links into components, and the first line of each component stays.
 """
 
 from __future__ import annotations
@@ -14,48 +13,56 @@ from pyspark.sql import functions as F
 
 from .common import discard, let, release, stored, text_of
 from .links import apart_pairs, components, merged_roots, star_buckets, star_pairs
-from .sketches import FULL, SAMPLE, SEEN, SMALL, alike_buckets, alike_possible, shared_values, small_traits
 
 #: Each match looks five characters ahead and leaves one behind.
 SHINGLE = r"(?s)(?=(.{5}|\A.{1,4}\z))."
-#: Shingles that begin with the two letters that most languages have most of: a sample that costs little to take.
-GLANCE = r"(?s)(?=([ae].{4}))."
-#: Runs without white space that need windows of their own, and these.
-LONG_RUN = r"[^\x00-\x7f]{12}|\S{25}"
-WITHIN = r"(?<=\S{4})(?=(\S{8}))\S"
-WHITE = "\t\n\x0b\x0c\r\xa0\u3000"
-RANGES = 8
+WIDTH = 5
+#: A pair of Jaccard s shares a band with 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Lines that differ in fewer than BANDS shingles always share one.
+BANDS, ROWS = 12, 4
+#: Longs of a band's bitmap.
+HALVES = 1
+#: Longs of a wide bitmap.
+WIDE = 64
 THRESHOLD = 0.8
-#: Standard errors by which a glance, which is no random sample, may miss what the whole line promises.
-GLANCE_ERRORS = 3.5
 
 
-def _even(h: Column) -> Column:
-    return F.shiftleft(h, 1)
+def shingles(line: Column) -> Column:
+    """The different shingles' hashes, for the exact Jaccard."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
-def hashes(line: Column) -> Column:
-    """The hashes of a line's runs, for the signature; their lowest bit is 0."""
-    low = F.lower(line)
-    words = let(F.split(F.translate(low, WHITE, " " * len(WHITE)), " "), lambda w: F.transform(w, lambda x, i: _even(F.xxhash64(x, F.get(w, i + 1)))))
-    within = F.transform(F.regexp_extract_all(low, F.lit(WITHIN), F.lit(1)), lambda s: _even(F.xxhash64(s)))
-    return F.when(low.rlike(LONG_RUN), F.concat(words, within)).otherwise(words)
+def windows(texts: DataFrame) -> DataFrame:
+    """id and v (a hash), a row for each shingle of each line. The same windows as in `shingles`; as rows they are hashed by compiled code."""
+    rows = texts.select("id", F.split(F.lower("line"), "").alias("c")).select("id", "c", F.posexplode("c").alias("i", "x"))
+    rows = rows.where((F.col("i") <= F.size("c") - WIDTH) | (F.col("i") == 0))
+    return rows.select("id", F.xxhash64("x", *[F.get("c", F.col("i") + k) for k in range(1, WIDTH)]).alias("v"))
 
 
-def shingles(line: Column) -> Column:
-    """The different shingles' hashes, for the exact Jaccard."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s)))
+def signatures(texts: DataFrame) -> DataFrame:
+    """id, w (how many windows), k0... (a key for each band that has a shingle) and b0... (bitmaps of each band's shingles). texts: id (each once), line, dealt by id."""
+    v = F.col("v")
+    place = F.pmod(v.bitwiseAND((1 << 31) - 1), F.lit(BANDS * ROWS)).cast("int")
+    u = F.shiftrightunsigned(v, 31)  # its lowest bits are a place in the bitmap
+    bit = lambda h: F.when(u.bitwiseAND(64) == 64 * h, F.call_function("shiftleft", F.lit(1).cast("long"), u.bitwiseAND(63).cast("int")))
+    rows = windows(texts).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
+    least = [F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"u{k}") for k in range(ROWS)]
+    rows = rows.groupBy("id", "band").agg(F.count("*").alias("w"), *least, *[F.bit_or(f"x{h}").alias(f"x{h}") for h in range(HALVES)])
+    rows = rows.select("id", "band", "w", F.xxhash64("band", *[F.coalesce(f"u{k}", F.lit(-1)) for k in range(ROWS)]).alias("key"), *[f"x{h}" for h in range(HALVES)])
+    of = lambda c, i: F.max(F.when(F.col("band") == i, F.col(c)))
+    keys = [of("key", i).alias(f"k{i}") for i in range(BANDS)]
+    return rows.groupBy("id").agg(F.sum("w").alias("w"), *keys, *[F.coalesce(of(f"x{i % HALVES}", i // HALVES), F.lit(0)).alias(f"b{i}") for i in range(BANDS * HALVES)])
 
 
-def bands(values: Column, ranges: int = RANGES) -> Column:
-    """Band keys: one for each range that has a hash, of its least hash and the next range's (the last's next is the first).
+def possible(threshold: float):
+    """Of two rows with w and the bitmaps: whether they allow a Jaccard of threshold. Sets differ in at least as many shingles as their bitmaps differ in bits, so none that has it is left out."""
 
-    Sorting the hashes among odd range borders puts each range's least hash right behind a border.
-    """
-    borders = [F.lit(-(1 << 63) + (i << 64) // ranges + 1).cast("long") for i in range(ranges)]
-    behind = lambda m: F.array(*[F.get(m, F.array_position(m, b).cast("int")) for b in borders])
-    least = let(F.sort_array(F.concat(values, F.array(*borders))), lambda m: F.filter(behind(m), lambda x: x.bitwiseAND(1) == 0))
-    return let(least, lambda v: F.array_distinct(F.transform(v, lambda x, i: F.xxhash64(x, F.get(v, (i + 1) % F.size(v))))))
+    def test(left: str, right: str) -> Column:
+        differ = F.lit(0)
+        for i in range(BANDS * HALVES):
+            differ = differ + F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}")))
+        return differ <= (F.col(f"{left}w") + F.col(f"{right}w")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+    return test
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -65,42 +72,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("line"))
 
 
-def bitmap(values: Column) -> Column:
-    """SMALL longs in which each hash sets one bit. Two sets differ in at least as many hashes as their bitmaps differ in bits."""
-    word = lambda x: F.shiftrightunsigned(x, 9).bitwiseAND(SMALL - 1)
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 20).bitwiseAND(63).cast("int"))
-    mine = lambda w: F.filter(values, lambda x: word(x) == w)
-    return F.array(*[F.aggregate(mine(w), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x))) for w in range(SMALL)])
-
-
-def glances(texts: DataFrame) -> DataFrame:
-    """id, s and b0 to b3: size and bitmap of the shingles that GLANCE takes."""
-    seen = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("line"), F.lit(GLANCE), F.lit(1)), lambda s: F.xxhash64(s)))
-    rows = texts.select("id", let(seen, lambda v: F.struct(F.size(v).alias("s"), bitmap(v).alias("bits"))).alias("g"))
-    return rows.select("id", F.col("g.s").alias("s"), *[F.col("g.bits")[w].alias(f"b{w}") for w in range(SMALL)])
-
-
-def sampled(texts: DataFrame) -> DataFrame:
-    """The lines' shingles as a table of sets for `sketches`."""
-    least = F.lit(-(1 << 63)).cast("long")
-
-    def below(v: Column, p: Column, many: int) -> Column:
-        bound = F.call_function("shiftleft", F.lit(many).cast("long"), (F.lit(64) - p).cast("int")).bitwiseXOR(least)
-        return F.when(F.pow(F.lit(2.0), p) <= many, v).otherwise(F.filter(v, lambda x: x < bound))
-
-    def sample(v: Column, p: Column) -> Column:
-        return F.when(p < FULL, v).otherwise(below(v, p, SAMPLE))
-
-    p, low = F.col("p"), F.col("n") * THRESHOLD <= F.pow(F.lit(2.0), F.col("p"))  # low: may be alike to a set of partition p - 1
-    rows = texts.select("id", F.sort_array(shingles(F.col("line"))).alias("v")).withColumn("n", F.size("v")).withColumn("p", F.length(F.bin("n")) - 1)
-    rows = rows.withColumn("bits1", F.when(low, below(F.col("v"), p - 1, SEEN)).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("bits0", below(F.when(low, F.col("bits1")).otherwise(F.col("v")), p, SEEN))
-    # what a sample takes is in the bitmap's values too, but for sets of which all are sampled
-    rows = rows.withColumn("vals", F.when(low, sample(F.col("bits1"), p - 1)).otherwise(sample(F.col("bits0"), p))).withColumn("own", sample(F.col("bits0"), p))
-    m = F.size("own")
-    return rows.select("id", "n", "p", m.alias("m"), (F.size("vals") - m).alias("near"), m.alias("upper"), F.size("bits0").alias("s0"), F.size("bits1").alias("s1"), "vals", F.concat(bitmap(F.col("bits0")), bitmap(F.col("bits1"))).alias("small"))
-
-
 def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """pairs (a, b) with the other columns of rows, by id, named l_... for a and r_... for b."""
     for end, prefix in (("a", "l_"), ("b", "r_")):
@@ -108,49 +79,66 @@ def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of a Jaccard of threshold or more. texts: id, line."""
+def sifted(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose wide bitmaps allow a Jaccard of threshold. Each line's is made once, a pair of long lines costs some words of it instead of all their shingles."""
+    v = F.col("v")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+    rows = windows(texts).select("id", F.shiftrightunsigned(v, 6).bitwiseAND(WIDE - 1).cast("int").alias("at"), bit.alias("bit"))
+    rows = rows.groupBy("id", "at").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("w")).groupBy("id").agg(F.sum("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
+    traits = stored(rows.select("id", "w", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0))).alias("wide")), "line-wide")
+    differ = F.aggregate(F.zip_with("l_wide", "r_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    out = stored(sides(pairs, traits).where(differ <= (F.col("l_w") + F.col("r_w")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b"), "line-sifted")
+    for table in (traits, pairs):
+        discard(table)
+    release(texts.sparkSession)
+    return out
+
+
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float, many: bool = False) -> DataFrame:
+    """The stored pairs (a, b) of a Jaccard of threshold or more, stored in the shared folder. lines: id, line. Only the lines of pairs are taken along. many: more pairs than lines."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = stored(lines.select("id", "line").join(wanted.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
+    release(lines.sparkSession)
+    if many:
+        pairs = sifted(pairs, texts, threshold)
     test = let(F.struct(shingles(F.col("l_line")).alias("x"), shingles(F.col("r_line")).alias("y")), lambda v: let(F.size(F.array_intersect(v["x"], v["y"])), lambda n: n >= threshold * (F.size(v["x"]) + F.size(v["y"]) - n)))
-    return sides(pairs, texts).where(test).select("a", "b")
+    links = stored(sides(pairs, texts).where(test).select("a", "b"), "line-links")
+    for table in (texts, pairs):
+        discard(table)
+    release(lines.sparkSession)
+    return links
+
+
+def different(lines: DataFrame) -> DataFrame:
+    """id and line of the different lines, dealt by id."""
+    return lines.select("id", "line").repartition("id").groupBy("id").agg(F.min("line").alias("line"))
 
 
 def line_roots(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, root) of different lines by their hashes: components of the verified links between lines that share a band."""
     spark = lines.sparkSession
-    keyed = lines.select("id", bands(hashes(F.col("line"))).alias("keys")).groupBy("id").agg(*[F.max(F.get("keys", i)).alias(f"k{i}") for i in range(RANGES)], F.count("*").alias("weight"))
-    keyed = stored(keyed.select("id", "weight", F.array_compact(F.array(*[f"k{i}" for i in range(RANGES)])).alias("keys")), "line-bands")
-    buckets = star_buckets(keyed.select(F.explode("keys").alias("key"), "id", "weight"))
-    discard(keyed)
+    signed = stored(signatures(different(lines)), "line-bands")
     release(spark)
-    candidates = stored(star_pairs(buckets), "line-candidates")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = stored(lines.select("id", "line").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    buckets = star_buckets(signed.select(F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(BANDS)]))).alias("key"), "id"))
     release(spark)
-    test = alike_possible(threshold, GLANCE_ERRORS)
-    likely = stored(sides(candidates, stored(glances(texts), "line-glances")).where(test("l_", "r_")).select("a", "b"), "line-likely")
-    discard(candidates)
+    wanted = buckets.select("id").distinct()
+    traits = stored(signed.select("id", "w", *[f"b{i}" for i in range(BANDS * HALVES)]).join(wanted.hint("shuffle_hash"), "id", "left_semi"), "line-bits")
+    discard(signed)
     release(spark)
-    links = stored(verified(likely, texts, threshold), "line-links")
-    discard(likely)
+    may = possible(threshold)
+    candidates = stored(sides(star_pairs(buckets), traits).where(may("l_", "r_")).select("a", "b"), "line-candidates")
     release(spark)
+    links = verified(candidates, lines, threshold)
     roots = stored(components(links), "line-roots")
-    # a pair in different components shares a bucket that has at least three lines and two components
-    rooted = buckets.where("n > 2").select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = stored(rooted, "line-rooted")
-    unsettled = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ids = rooted.join(unsettled.hint("shuffle_hash"), "key").select("id").distinct()
-    sets = stored(sampled(texts.join(open_ids, "id")), "line-samples")
-    discard(buckets)
-    discard(rooted)
-    release(spark)
-    again = alike_buckets(shared_values(sets, threshold))
-    apart = apart_pairs(again, roots, small_traits(sets), alike_possible(threshold), near=0)
+    apart = apart_pairs(buckets, roots, traits, may, near=1)
     more = stored(apart, "line-apart")
     discard(apart.rooted)
-    discard(again)
-    discard(sets)
-    out = merged_roots(roots, verified(more, texts, threshold))
-    for table in (more, texts, links):
+    discard(buckets)
+    discard(traits)
+    release(spark)
+    more = verified(more, lines, threshold, many=True)
+    out = merged_roots(roots, more)
+    for table in (more, links, roots):
         discard(table)
     release(spark)
     return out
