@@ -17,7 +17,7 @@ from .links import apart_pairs, components, merged_roots, star_buckets, star_pai
 #: Each match looks five characters ahead and leaves one behind.
 SHINGLE = r"(?s)(?=(.{5}|\A.{1,4}\z))."
 WIDTH = 5
-#: A pair of Jaccard s shares a band with 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Lines that differ in fewer than BANDS shingles always share one.
+#: A pair of Jaccard s shares a band with about 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Fewer than BANDS changed shingles leave a band as it was, a key if it holds a shingle.
 BANDS, ROWS = 12, 4
 #: Longs of a band's bitmap.
 HALVES = 1
