@@ -70,3 +70,16 @@ def test_bitmaps_never_rule_out_alike_lines(spark):
     got = {(r.a, r.b): r.ok for r in line_dedup.sides(both, signed).select("a", "b", line_dedup.possible(0.8)("l_", "r_").alias("ok")).collect()}
     alike = [(at[a], at[b]) for a, b in pairs if jaccard(a, b) >= 0.8]
     assert len(alike) > 10 and all(got[p] for p in alike) and not all(got.values())
+
+
+def test_long_lines_that_are_not_alike_are_ruled_out(spark):
+    """Their bitmaps are so full that hardly a bit of what only one of them has would be seen, were it not for the parities; lines of other sizes go by their sizes."""
+    rng = np.random.default_rng(12)
+    lines = [letters(rng, n, "abcdefgh") for n in (700, 1000, 1400)]
+    half = [s[: len(s) // 2] + letters(rng, len(s) - len(s) // 2, "abcdefgh") for s in lines]
+    again = [s + s[:100] for s in lines]  # windows that are there already count once
+    every = [*lines, *half, *again]
+    signed = line_dedup.signatures(spark.createDataFrame(list(enumerate(every)), "id bigint, line string").repartition("id"))
+    pairs = [(i, j) for i in range(len(every)) for j in range(i)]
+    got = {(r.a, r.b): r.ok for r in line_dedup.sides(spark.createDataFrame(pairs, "a bigint, b bigint"), signed).select("a", "b", line_dedup.possible(0.8)("l_", "r_").alias("ok")).collect()}
+    assert got == {(i, j): jaccard(every[i], every[j]) >= 0.8 for i, j in pairs} and sum(got.values()) == len(lines)

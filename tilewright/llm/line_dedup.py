@@ -19,34 +19,39 @@ SHINGLE = r"(?s)(?=(.{5}|\A.{1,4}\z))."
 WIDTH = 5
 #: A pair of Jaccard s shares a band with about 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Fewer than BANDS changed shingles leave a band as it was, a key if it holds a shingle.
 BANDS, ROWS = 12, 4
-#: Longs of a band's bitmap.
+#: Longs of a band's bitmap, a power of two. Of all bands they have 768 bits, which tell lines of a Jaccard well below 0.8 apart up to some 1,500 different shingles; longer ones go by their sizes too.
 HALVES = 1
-#: Longs of a wide bitmap.
-WIDE = 64
 THRESHOLD = 0.8
 
 
+def hashes(line: Column) -> Column:
+    """A hash for each window of the line; the same windows as SHINGLE finds."""
+    each = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get(c, i + k) for k in range(WIDTH)]))
+    return let(F.split(F.lower(line), ""), each)
+
+
 def shingles(line: Column) -> Column:
     """The different shingles' hashes, for the exact Jaccard."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s)))
+    return F.array_distinct(hashes(line))
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """id and v (a hash), a row for each shingle of each line. The same windows as in `shingles`; as rows they are hashed by compiled code."""
-    rows = texts.select("id", F.split(F.lower("line"), "").alias("c")).select("id", "c", F.posexplode("c").alias("i", "x"))
-    rows = rows.where((F.col("i") <= F.size("c") - WIDTH) | (F.col("i") == 0))
-    return rows.select("id", F.xxhash64("x", *[F.get("c", F.col("i") + k) for k in range(1, WIDTH)]).alias("v"))
+def windows(texts: DataFrame, once: bool = False) -> DataFrame:
+    """id and v (a hash), a row for each window of each line, or once for each different one."""
+    return texts.select("id", F.explode(shingles(F.col("line")) if once else hashes(F.col("line"))).alias("v"))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
-    """id, w (how many windows), k0... (a key for each band that has a shingle) and b0... (bitmaps of each band's shingles). texts: id (each once), line, dealt by id."""
+    """id, w (how many different shingles), k0... (a key for each band that has one) and b0... (parity bitmaps: of each place, whether an odd number of the band's shingles falls on it).
+
+    texts: id (each once), line, dealt by id.
+    """
     v = F.col("v")
     place = F.pmod(v.bitwiseAND((1 << 31) - 1), F.lit(BANDS * ROWS)).cast("int")
     u = F.shiftrightunsigned(v, 31)  # its lowest bits are a place in the bitmap
     bit = lambda h: F.when(u.bitwiseAND(64) == 64 * h, F.call_function("shiftleft", F.lit(1).cast("long"), u.bitwiseAND(63).cast("int")))
-    rows = windows(texts).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
+    rows = windows(texts, once=True).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
     least = [F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"u{k}") for k in range(ROWS)]
-    rows = rows.groupBy("id", "band").agg(F.count("*").alias("w"), *least, *[F.bit_or(f"x{h}").alias(f"x{h}") for h in range(HALVES)])
+    rows = rows.groupBy("id", "band").agg(F.count("*").alias("w"), *least, *[F.bit_xor(f"x{h}").alias(f"x{h}") for h in range(HALVES)])
     rows = rows.select("id", "band", "w", F.xxhash64("band", *[F.coalesce(f"u{k}", F.lit(-1)) for k in range(ROWS)]).alias("key"), *[f"x{h}" for h in range(HALVES)])
     of = lambda c, i: F.max(F.when(F.col("band") == i, F.col(c)))
     keys = [of("key", i).alias(f"k{i}") for i in range(BANDS)]
@@ -54,13 +59,14 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def possible(threshold: float):
-    """Of two rows with w and the bitmaps: whether they allow a Jaccard of threshold. Sets differ in at least as many shingles as their bitmaps differ in bits, so none that has it is left out."""
+    """Of two rows with w and the bitmaps: whether they allow a Jaccard of threshold. What both sets have cancels out of the parities, so that sets differ in at least as many shingles as their
+    bitmaps differ in bits, however full these are: none that has the Jaccard is left out."""
 
     def test(left: str, right: str) -> Column:
-        differ = F.lit(0)
+        v, w, differ = F.col(f"{left}w"), F.col(f"{right}w"), F.lit(0)
         for i in range(BANDS * HALVES):
             differ = differ + F.bit_count(F.col(f"{left}b{i}").bitwiseXOR(F.col(f"{right}b{i}")))
-        return differ <= (F.col(f"{left}w") + F.col(f"{right}w")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+        return (F.least(v, w) >= threshold * F.greatest(v, w) - 1e-6) & (differ <= (v + w) * ((1 - threshold) / (1 + threshold)) + 1e-6)
 
     return test
 
@@ -79,28 +85,11 @@ def sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs
 
 
-def sifted(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose wide bitmaps allow a Jaccard of threshold. Each line's is made once, a pair of long lines costs some words of it instead of all their shingles."""
-    v = F.col("v")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
-    rows = windows(texts).select("id", F.shiftrightunsigned(v, 6).bitwiseAND(WIDE - 1).cast("int").alias("at"), bit.alias("bit"))
-    rows = rows.groupBy("id", "at").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("w")).groupBy("id").agg(F.sum("w").alias("w"), F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    traits = stored(rows.select("id", "w", F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0))).alias("wide")), "line-wide")
-    differ = F.aggregate(F.zip_with("l_wide", "r_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    out = stored(sides(pairs, traits).where(differ <= (F.col("l_w") + F.col("r_w")) * ((1 - threshold) / (1 + threshold)) + 1e-6).select("a", "b"), "line-sifted")
-    for table in (traits, pairs):
-        discard(table)
-    release(texts.sparkSession)
-    return out
-
-
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float, many: bool = False) -> DataFrame:
-    """The stored pairs (a, b) of a Jaccard of threshold or more, stored in the shared folder. lines: id, line. Only the lines of pairs are taken along. many: more pairs than lines."""
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """The stored pairs (a, b) of a Jaccard of threshold or more, stored in the shared folder. lines: id, line. Only the lines of pairs are taken along."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = stored(lines.select("id", "line").join(wanted.hint("shuffle_hash"), "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts")
     release(lines.sparkSession)
-    if many:
-        pairs = sifted(pairs, texts, threshold)
     test = let(F.struct(shingles(F.col("l_line")).alias("x"), shingles(F.col("r_line")).alias("y")), lambda v: let(F.size(F.array_intersect(v["x"], v["y"])), lambda n: n >= threshold * (F.size(v["x"]) + F.size(v["y"]) - n)))
     links = stored(sides(pairs, texts).where(test).select("a", "b"), "line-links")
     for table in (texts, pairs):
@@ -136,7 +125,7 @@ def line_roots(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     discard(buckets)
     discard(traits)
     release(spark)
-    more = verified(more, lines, threshold, many=True)
+    more = verified(more, lines, threshold)
     out = merged_roots(roots, more)
     for table in (more, links, roots):
         discard(table)
