@@ -58,10 +58,16 @@ def term_counts(texts, vocabulary=None):
     return pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary)), counts, vocabulary
 
 
+def sparse(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms, ascending, and their counts, of a dictionary or of two such arrays."""
+    ts, ns = (sorted(counts), [counts[t] for t in sorted(counts)]) if isinstance(counts, dict) else counts
+    return np.array(ts, np.int64), np.array(ns, np.float64)
+
+
 class Index:
     """Examples' unit vectors in postings by term, with the largest weight of each term in each block of examples."""
 
-    def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, dict[int, float]]]):
+    def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple]):
         self.terms, self.weight = terms, weight
         rows = [(d, y, self.unit(c)) for d, y, c in examples]
         rows = [(d, y, v) for d, y, v in rows if len(v[0])]
@@ -83,9 +89,8 @@ class Index:
         self.forward_term, self.forward_value = term[long], value[long]
         self.slope, self.offset = 1.0, 0.0
 
-    def unit(self, counts: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-        ts = np.array(sorted(counts), np.int64)
-        return self.unit_of(ts, np.array([counts[t] for t in ts.tolist()], np.float64))
+    def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
+        return self.unit_of(*sparse(counts))
 
     def unit_of(self, ts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ws = counts * self.weight[ts]
@@ -144,11 +149,11 @@ class Index:
         return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -40, 40))))
 
 
-def relevance(terms: int, examples: list[tuple[int, int, dict[int, float]]]) -> np.ndarray:
+def relevance(terms: int, examples: list[tuple]) -> np.ndarray:
     """A factor of at least 1 for each term: 1, and what the root of its log-likelihood ratio between the examples' labels has beyond CHANCE."""
     has = np.zeros((2, terms))
     for _, y, counts in examples:
-        has[y, list(counts)] += 1
+        has[y, sparse(counts)[0]] += 1
     n = np.array([[sum(y == k for _, y, _ in examples)] for k in (0, 1)], float)
 
     def part(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -233,13 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (term, count)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *lists], names=["doc_id", "y", "ts", "ns"])
 
-    rows = labelled_texts(docs, ids).select("doc_id", "text", "y").mapInArrow(vectors, "doc_id bigint, y int, ts array<int>, ns array<int>").collect()
-    n = {y: sum(r["y"] == y for r in rows) for y in (0, 1)}
+    rows = labelled_texts(docs, ids).select("doc_id", "text", "y").mapInArrow(vectors, "doc_id bigint, y int, ts array<int>, ns array<int>").toArrow().combine_chunks()
+    n = {y: int((rows["y"].to_numpy() == y).sum()) for y in (0, 1)}
     if not n[0] or not n[1]:
         share = counts.get(1, 0) / max(1, sum(counts.values()))
         bare.slope, bare.offset = 0.0, float(np.clip(np.log(max(share, 1e-18)) - np.log(max(1 - share, 1e-18)), -40, 40))
         return bare
-    examples = sorted((r["doc_id"], r["y"], dict(zip(r["ts"], r["ns"], strict=True))) for r in rows)
+    # slices of two arrays: dictionaries of a million counts would take the driver some 100 bytes each
+    ts, ns = (rows[c].combine_chunks() for c in ("ts", "ns"))
+    at, ts, ns = ts.offsets.to_numpy() - ts.offsets[0].as_py(), ts.flatten().to_numpy(), ns.flatten().to_numpy()
+    examples = sorted(zip(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), [(ts[a:b], ns[a:b]) for a, b in zip(at, at[1:], strict=False)], strict=True), key=lambda e: e[:2])
     index = Index(terms, np.power(idf, POWER) * relevance(len(terms), examples), examples)
     votes = np.array([index.vote(index.nearest(index.unit(c), without=d)) for d, _, c in examples])
     ys = np.array([y for _, y, _ in examples], np.float64)
