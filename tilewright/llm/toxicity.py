@@ -68,8 +68,23 @@ class Index:
     """Examples' unit vectors in postings by term, with the largest weight of each term in each block of examples."""
 
     def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple]):
-        self.terms, self.weight = terms, weight
-        rows = [(d, y, self.unit(c)) for d, y, c in examples]
+        self.terms, self.weight, self.examples = terms, weight, examples
+        self.slope, self.offset = 1.0, 0.0
+
+    #: What is made of the examples where it is first asked for: the driver, which only passes the examples on, never holds it.
+    MADE = ("ids", "labels", "blocks", "post", "value", "start", "most", "block_of", "forward", "forward_term", "forward_value")
+
+    def __getattr__(self, name: str):
+        if name not in Index.MADE:
+            raise AttributeError(name)
+        self._make()
+        return self.__dict__[name]
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in Index.MADE}
+
+    def _make(self) -> None:
+        rows = [(d, y, self.unit(c)) for d, y, c in self.examples]
         rows = [(d, y, v) for d, y, v in rows if len(v[0])]
         rows.sort(key=lambda r: (int(r[2][0][np.argmax(r[2][1])]), r[0]))  # alike examples share blocks, so that the bounds are tight
         self.ids = np.array([r[0] for r in rows], np.int64)
@@ -80,14 +95,13 @@ class Index:
         value = np.concatenate([v[1] for _, _, v in rows] or [np.zeros(0)])
         order = np.argsort(term, kind="stable")
         self.post, self.value = where[order], value[order]
-        self.start = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.most = np.zeros((len(terms), self.blocks))
+        self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.most = np.zeros((len(self.terms), self.blocks))
         np.maximum.at(self.most, (term, where // BLOCK), value)
         self.block_of = np.arange(len(rows)) // BLOCK
         long = np.diff(self.start)[term] > LONG * len(rows)  # where is ascending, so these are vectors by example
         self.forward = np.searchsorted(where[long], np.arange(len(rows) + 1))
         self.forward_term, self.forward_value = term[long], value[long]
-        self.slope, self.offset = 1.0, 0.0
 
     def unit(self, counts) -> tuple[np.ndarray, np.ndarray]:
         return self.unit_of(*sparse(counts))
@@ -216,10 +230,31 @@ def frequent_terms(docs: DataFrame, least: float = LEAST, most: float = MOST) ->
     return [t for t, _ in kept], np.array([np.log((total + 1) / (n + 1)) for _, n in kept]), total
 
 
+def own_votes(spark: SparkSession, index: Index) -> np.ndarray:
+    """The vote of each of the index's examples among the others, taken on the executors."""
+    shipped = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        import pyarrow as pa
+
+        index = shipped.value
+        for batch in batches:
+            mine = [index.examples[i] for i in batch.column(0).to_pylist()]
+            votes = [index.vote(index.nearest(index.unit(c), without=d)) for d, _, c in mine]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    n = len(index.examples)
+    got = spark.range(0, n, 1, -(-n // 512)).mapInArrow(run, "id bigint, vote double").toArrow()
+    shipped.destroy()
+    out = np.zeros(n)
+    out[got.column("id").to_numpy()] = got.column("vote").to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, per_class: int = PER_CLASS) -> Index:
     """Learns index and calibration from at most per_class examples of each class that aren't held out; the vocabulary and its idf are those of all documents.
 
-    The driver gets the vocabulary and the examples' counts, both bounded. Without examples of both classes (no labels, or no documents for them) there is no index, and every
+    The driver gets the vocabulary and the examples' counts, both bounded; postings are made and votes taken on the executors. Without examples of both classes (no labels, or no documents for them) there is no index, and every
     document gets the share of label 1 among the labels that aren't held out (0 without labels). Of documents with the same id the one of the least text is the example.
     """
     ids, counts = labelled_ids(labels, "toxic", modulus, held_out, per_class)
@@ -249,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
     at, ts, ns = ts.offsets.to_numpy() - ts.offsets[0].as_py(), ts.flatten().to_numpy(), ns.flatten().to_numpy()
     examples = sorted(zip(rows["doc_id"].to_pylist(), rows["y"].to_pylist(), [(ts[a:b], ns[a:b]) for a, b in zip(at, at[1:], strict=False)], strict=True), key=lambda e: e[:2])
     index = Index(terms, np.power(idf, POWER) * relevance(len(terms), examples), examples)
-    votes = np.array([index.vote(index.nearest(index.unit(c), without=d)) for d, _, c in examples])
+    votes = own_votes(docs.sparkSession, index)
     ys = np.array([y for _, y, _ in examples], np.float64)
     share = {y: counts[y] / n[y] for y in (0, 1)}  # the sample's classes weigh as in all labels
     index.slope, index.offset = calibrated(votes, ys, np.where(ys == 1, share[1], share[0]) / max(share.values()))
