@@ -27,8 +27,9 @@ LOW = np.uint64(1 << 31)
 #: Runs in each of the two generations that a Python worker remembers, and their most characters: some 150 MB together.
 MEMO = 400_000
 LONGEST = 48
-#: Stands between runs that are encoded together; runs with numerals are encoded apart.
-MARK = "0"
+#: Stand between runs that are encoded together: one between those without numerals, one between those with. So many runs at once.
+MARKS = ("0", "|")
+GROUP = 256
 #: Bytes of text that are encoded together (a longer text is encoded alone).
 PIECE = 8 << 20
 END_ID = 1
@@ -187,28 +188,31 @@ class WordCoder:
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.marks = [self.library.encode(m, add_special_tokens=False).ids for m in MARKS]
+
+    def _each(self, runs: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
 
     def _fresh(self, runs: list[str]) -> list[bytes]:
-        """Each run's ids from the library, which takes many at once: they are joined with a mark between them that none of them holds."""
-        if len(self.mark) != 1:
-            return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch_fast(runs, add_special_tokens=False)]
-        apart = [i for i, r in enumerate(runs) if any(c.isnumeric() for c in r)] if not "".join(runs).isalpha() else []
+        """Each run's ids from the library, which takes many at once: they are joined with a mark between them. A group in which a run's ids hold the mark's too is encoded one by one."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         out: list[bytes] = [b""] * len(runs)
-        for i, e in zip(apart, self.library.encode_batch_fast([runs[i] for i in apart], add_special_tokens=False), strict=True):
-            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        alone = set(apart)
-        joined = [i for i in range(len(runs)) if i not in alone]
-        groups = [joined[at : at + 1024] for at in range(0, len(joined), 1024)]
-        for group, e in zip(groups, self.library.encode_batch_fast([f" {MARK} ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = [*(4 * np.flatnonzero(ids == self.mark[0])).tolist(), 4 * len(ids)]
-            if len(ends) != len(group):
-                raise ValueError("the mark between runs is not kept apart")
-            raw, at = ids.tobytes(), 0
-            for i, end in zip(group, ends, strict=True):
-                out[i] = raw[at:end]
-                at = end + 4
+        numerals = pc.match_substring_regex(pa.array(runs, pa.string()), r"\pN").to_numpy(zero_copy_only=False)
+        for mark, ids_of_mark, mine in zip(MARKS, self.marks, (np.flatnonzero(~numerals), np.flatnonzero(numerals)), strict=True):
+            groups = [mine[at : at + GROUP].tolist() for at in range(0, len(mine), GROUP)]
+            for group, e in zip(groups, self.library.encode_batch_fast([f" {mark} ".join([runs[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = [*(4 * np.flatnonzero(ids == ids_of_mark[0])).tolist(), 4 * len(ids)]
+                if len(ids_of_mark) != 1 or len(ends) != len(group):
+                    for i, x in zip(group, self._each([runs[i] for i in group]), strict=True):
+                        out[i] = x
+                    continue
+                raw, at = ids.tobytes(), 0
+                for i, end in zip(group, ends, strict=True):
+                    out[i] = raw[at:end]
+                    at = end + 4
         return out
 
     def _runs(self, runs: list[str]) -> list[bytes]:
@@ -233,24 +237,19 @@ class WordCoder:
 
     def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of texts, each text's followed by end_id, and each text's number of ids with that."""
+        import pyarrow as pa
         import pyarrow.compute as pc
 
         split = pc.ascii_split_whitespace(texts)
         runs = split.flatten().dictionary_encode()
-        of, offsets = runs.indices.to_numpy(), split.offsets.to_numpy()
-        coded = self._runs(runs.dictionary.to_pylist())
-        sizes = np.array([len(x) // 4 for x in coded], np.int64)
-        pool, first = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
-        each = sizes[of]
-        before = np.concatenate([[0], np.cumsum(each)])
-        lengths = before[offsets[1:] - offsets[0]] - before[offsets[:-1] - offsets[0]] + 1
-        out = np.empty(int(before[-1]) + len(lengths), np.uint32)
-        ends = np.cumsum(lengths) - 1
-        own = np.ones(len(out), bool)
-        own[ends] = False
-        out[ends] = end_id
-        out[own] = pool[np.repeat(first[of] - before[:-1], each) + np.arange(before[-1])]
-        return out, lengths
+        of, ends = runs.indices.to_numpy(), split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        coded = [*self._runs(runs.dictionary.to_numpy(zero_copy_only=False).tolist()), struct.pack("<I", end_id)]
+        sizes = np.array([len(x) // 4 for x in coded], np.int32)
+        pool = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), np.uint32)))
+        of = np.insert(of, ends, len(coded) - 1)
+        before = np.concatenate([[0], np.cumsum(sizes[of], dtype=np.int64)])
+        lengths = np.diff(before[ends + np.arange(1, len(ends) + 1)], prepend=0)
+        return pool.take(pa.array(of)).flatten().to_numpy(), lengths
 
 
 def word_coder(path: str) -> WordCoder:
