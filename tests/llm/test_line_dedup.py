@@ -83,3 +83,12 @@ def test_long_lines_that_are_not_alike_are_ruled_out(spark):
     pairs = [(i, j) for i in range(len(every)) for j in range(i)]
     got = {(r.a, r.b): r.ok for r in line_dedup.sides(spark.createDataFrame(pairs, "a bigint, b bigint"), signed).select("a", "b", line_dedup.possible(0.8)("l_", "r_").alias("ok")).collect()}
     assert got == {(i, j): jaccard(every[i], every[j]) >= 0.8 for i, j in pairs} and sum(got.values()) == len(lines)
+
+
+def test_windows_without_a_lambda(spark):
+    texts = ["", "ab", "Abcde", "abcdeabcde", "𝄞é" * 9 + "x\ny", "a" * 3000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, line string")
+    once = line_dedup.windows(frame, once=True)
+    assert "lambdafunction" not in once._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {(i, len({t.lower()[k : k + 5] for k in range(max(1, len(t) - 4))})) for i, t in enumerate(texts) if t}
+    assert {(r.id, r["count"]) for r in once.distinct().groupBy("id").count().collect()} == wanted

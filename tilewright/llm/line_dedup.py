@@ -37,7 +37,11 @@ def shingles(line: Column) -> Column:
 
 def windows(texts: DataFrame, once: bool = False) -> DataFrame:
     """id and v (a hash), a row for each window of each line, or once for each different one."""
-    return texts.select("id", F.explode(shingles(F.col("line")) if once else hashes(F.col("line"))).alias("v"))
+    if not once:
+        return texts.select("id", F.explode(hashes(F.col("line"))).alias("v"))
+    # strings of their own, so that all but the pattern is compiled: a lambda's body isn't
+    found = F.regexp_extract_all(F.lower("line"), F.lit(SHINGLE), F.lit(1))
+    return texts.select("id", F.explode(F.array_distinct(found)).alias("s")).select("id", F.xxhash64("s").alias("v"))
 
 
 def signatures(texts: DataFrame) -> DataFrame:
