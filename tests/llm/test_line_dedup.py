@@ -92,3 +92,23 @@ def test_windows_without_a_lambda(spark):
     assert "lambdafunction" not in once._jdf.queryExecution().optimizedPlan().toString()
     wanted = {(i, len({t.lower()[k : k + 5] for k in range(max(1, len(t) - 4))})) for i, t in enumerate(texts) if t}
     assert {(r.id, r["count"]) for r in once.distinct().groupBy("id").count().collect()} == wanted
+
+
+def test_every_shingle_is_in_a_bitmap(spark):
+    """Of one shingle an odd number of bits is left over, so that all of a line's bits tell whether its shingles are odd or even in number."""
+    rng = np.random.default_rng(13)
+    lines = [letters(rng, n) for n in range(3, 90)] + ["日本語のテキスト😀é" * k for k in (1, 2)]
+    signed = line_dedup.signatures(spark.createDataFrame(list(enumerate(lines)), "id bigint, line string").repartition("id"))
+    bits = sum(F.bit_count(c) for c in signed.columns if c.startswith("b"))
+    assert [r.n % 2 for r in signed.select("id", bits.alias("n")).orderBy("id").collect()] == [len({s[k : k + 5] for k in range(max(1, len(s) - 4))}) % 2 for s in lines]
+
+
+def test_lines_somewhat_below_the_threshold_are_ruled_out(spark):
+    """Twice as many different shingles as a Jaccard of 0.8 allows aren't let through to be compared as texts."""
+    rng = np.random.default_rng(14)
+    base = [letters(rng, 300) for _ in range(40)]
+    far = [s[: 300 - 55] + letters(rng, 55) for s in base]
+    assert all(0.65 < jaccard(*p) < 0.75 for p in zip(base, far, strict=True))
+    signed = line_dedup.signatures(spark.createDataFrame(list(enumerate(base + far)), "id bigint, line string").repartition("id"))
+    pairs = spark.createDataFrame([(i, i + 40) for i in range(40)], "a bigint, b bigint")
+    assert line_dedup.sides(pairs, signed).where(line_dedup.possible(0.8)("l_", "r_")).count() == 0

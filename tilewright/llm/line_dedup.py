@@ -25,13 +25,14 @@ THRESHOLD = 0.8
 
 
 def hashes(line: Column) -> Column:
-    """A hash for each window of the line; the same windows as SHINGLE finds."""
-    each = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - WIDTH, F.lit(0))), lambda i: F.xxhash64(*[F.get(c, i + k) for k in range(WIDTH)]))
-    return let(F.split(F.lower(line), ""), each)
+    """A hash for each window of the line; the same windows as SHINGLE finds. They are cut from the line at four bytes a character, where each is one slice."""
+    size = 4 * WIDTH
+    each = lambda b: F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(b) - (size - 1), F.lit(1)), F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, F.lit(size))))
+    return let(F.encode(F.lower(line), "utf-32"), each)
 
 
 def shingles(line: Column) -> Column:
-    """The different shingles' hashes, for the exact Jaccard."""
+    """The different shingles' hashes, for signature and exact Jaccard."""
     return F.array_distinct(hashes(line))
 
 
@@ -52,8 +53,9 @@ def signatures(texts: DataFrame) -> DataFrame:
     v = F.col("v")
     place = F.pmod(v.bitwiseAND((1 << 31) - 1), F.lit(BANDS * ROWS)).cast("int")
     u = F.shiftrightunsigned(v, 31)  # its lowest bits are a place in the bitmap
-    bit = lambda h: F.when(u.bitwiseAND(64) == 64 * h, F.call_function("shiftleft", F.lit(1).cast("long"), u.bitwiseAND(63).cast("int")))
-    rows = windows(texts, once=True).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
+    # every shingle falls on one of the band's 64 * HALVES places: with one long on any of its bits
+    bit = lambda h: F.when(u.bitwiseAND(64 * (HALVES - 1)) == 64 * h, F.call_function("shiftleft", F.lit(1).cast("long"), u.bitwiseAND(63).cast("int")))
+    rows = texts.select("id", F.explode(shingles(F.col("line"))).alias("v")).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
     least = [F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"u{k}") for k in range(ROWS)]
     rows = rows.groupBy("id", "band").agg(F.count("*").alias("w"), *least, *[F.bit_xor(f"x{h}").alias(f"x{h}") for h in range(HALVES)])
     rows = rows.select("id", "band", "w", F.xxhash64("band", *[F.coalesce(f"u{k}", F.lit(-1)) for k in range(ROWS)]).alias("key"), *[f"x{h}" for h in range(HALVES)])
