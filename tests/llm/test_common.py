@@ -17,3 +17,21 @@ def test_shuffle_files_go_with_the_write(spark):
     kept = stored(rows, "shuffled")
     assert files() <= before and spark.conf.get(CLEANUP) == setting
     assert kept.count() == 7 and rows.count() == 7  # the plan itself can be run again
+
+
+def test_freed_memory_is_given_back():
+    """Blocks that are free between others in use stay with the process until they are given back."""
+    import re
+    from pathlib import Path
+
+    from tilewright.llm.common import give_back
+
+    def held():
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) // 1024
+
+    blocks = [bytearray(20_000) for _ in range(10_000)]
+    last = bytearray(20_000)
+    del blocks
+    before = held()
+    give_back()
+    assert before - held() > 100 and last

@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .samples import labelled_ids, labelled_texts, remainder
 from .texts import slices
 
@@ -328,6 +329,8 @@ def _scored(rows: DataFrame, index: Index, keep: tuple[str, ...], threshold: flo
                     sims.append([s for s, _, _ in near[:3]])
                 columns = [*(part.column(i) for i in range(len(keep))), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted", "evidence_ids", "evidence_scores"])
+        batch = texts = piece = part = doc = term = count = columns = None
+        give_back()
 
     return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "evidence_ids array<bigint>", "evidence_scores array<double>"]))
 
