@@ -35,3 +35,13 @@ def test_freed_memory_is_given_back():
     before = held()
     give_back()
     assert before - held() > 100 and last
+
+
+def test_samples_parity_bitmaps(spark):
+    """Of one value an odd number of bits is left over: the small bitmaps tell whether they stand for an odd number of values."""
+    from tilewright.llm import near_dup
+
+    docs = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in range(60, 130)], "doc_id bigint, text string")
+    bits = sum(F.bit_count(F.col("small")[i]) for i in range(near_dup.SMALL))
+    got = near_dup.samples(docs).select("s0", bits.alias("bits")).collect()
+    assert len(got) == 70 and all((r.s0 - r.bits) % 2 == 0 and r.bits <= r.s0 for r in got)
