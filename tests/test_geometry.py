@@ -24,6 +24,12 @@ def test_measures(spark):
     assert (area, tuple(c), inside, on, out) == (12.0, (2.0, 1.5), 1, 0, -1)
 
 
+def test_no_moments_without_area(spark):
+    bow = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10, 10), (12, 12), (12, 10), (10, 12))])
+    moments, below = spark.range(1).select(g.second_moments(bow), g.ratio_below(bow, 2)).first()
+    assert tuple(moments) == (0, 0) and below is False
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "s1.json").write_text('{"annotation": {"layers": [{"name": "a", "items": [{"type": "path", "segments": [{"point": {"x": 1, "y": 2}}, [[3, 4], [0, 0], [0, 0]], [5, 6]]}, {"type": "rectangle", "from": {"x": 1, "y": 1}, "to": {"x": 4, "y": 6}}]}]}}')
     (tmp_path / "s2.json").write_text('{"slide_id": "other", "layers": [{"name": "b", "items": []}]}')
