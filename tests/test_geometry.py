@@ -1,9 +1,11 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
 from tilewright.operators import raster
+from tilewright.plans.catalog import ORACLES, QUERIES
 from tilewright.sources import annotations, pyramids
 
 RELATIONS = [
@@ -24,6 +26,26 @@ def test_measures(spark):
     assert (area, tuple(c), inside, on, out) == (12.0, (2.0, 1.5), 1, 0, -1)
 
 
+def test_by_angle(spark):
+    places = np.random.default_rng(3).integers(-4, 5, (60, 2)).tolist() + [[3, 3], [1, 1], [-2, 0], [0, 0], [5, 0], [0, -7], [None, 1], [2, None]]
+    frame = spark.createDataFrame([(places,), ([],)], "at array<array<int>>").select(F.transform("at", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    got, none = [[tuple(p) for p in r.points] for r in frame.select(g.by_angle(F.col("points")).alias("points")).collect()]
+    assert got == sorted((tuple(p) for p in places if None not in p), key=lambda p: (round(float(np.arctan2(p[1], p[0])), 9), p[0] ** 2 + p[1] ** 2)) and none == []
+
+
+def test_moment_ratio_of_rings(spark, tmp_path):
+    """The corners of a square count the same in any order; some coordinates may be missing."""
+    corners, rows = [(0.1, 0.1), (-0.1, 0.1), (-0.1, -0.1), (0.1, -0.1)], []
+    for i, order in enumerate(((0, 1, 2, 3), (0, 2, 1, 3), (3, 0, 2, 1), (2, 0, 1, 3))):
+        rows.append((i, [v for k in order for v in corners[k]] * 8, 0))
+    rows += [(4, rows[1][1][:8], 0), (5, [0.1, None, *rows[1][1][:8]], 0), (6, [0.3, 0.01, -0.3, 0.01, 0.3, -0.01, -0.3, -0.01], 0), (7, [], 0), (8, None, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(r.id for r in QUERIES["f3_moment_ratio"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in duck.sql(ORACLES["f3_moment_ratio"]).fetchall()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_no_moments_without_area(spark):
     bow = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10, 10), (12, 12), (12, 10), (10, 12))])
     moments, below = spark.range(1).select(g.second_moments(bow), g.ratio_below(bow, 2)).first()
