@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import geometry as g
-from tilewright.operators import raster
+from tilewright.operators import grids, raster
 from tilewright.plans.catalog import ORACLES, QUERIES
 from tilewright.sources import annotations, pyramids
 
@@ -46,6 +46,16 @@ def test_moment_ratio_of_rings(spark, tmp_path):
     assert got == sorted(r[0] for r in duck.sql(ORACLES["f3_moment_ratio"]).fetchall()) == [0, 1, 2, 3, 4, 5]
 
 
+def test_nearest_level_is_merged(spark):
+    """Both sides grow with the slides, so neither is broadcast, however small it looks; nor are all levels sorted before they are dealt."""
+    slides = spark.range(50).withColumnRenamed("id", "slide")
+    levels = slides.select("slide", F.explode(F.array(*map(F.lit, range(4)))).alias("level")).withColumn("mpp", F.pow(F.lit(2.0), "level"))
+    out = grids.nearest_level(slides.select("slide", F.when(F.col("slide") % 2 == 0, 3.0).otherwise(7.0).alias("want")), levels)
+    assert {(r.slide, r.level) for r in out.collect()} == {(i, 1 if i % 2 == 0 else 3) for i in range(50)}  # 3 is as far from 2 as from 4: the first
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_no_moments_without_area(spark):
     bow = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10, 10), (12, 12), (12, 10), (10, 12))])
     moments, below = spark.range(1).select(g.second_moments(bow), g.ratio_below(bow, 2)).first()

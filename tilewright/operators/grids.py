@@ -57,7 +57,8 @@ def stack(points: DataFrame, levels: tuple[int, ...], tile: int) -> DataFrame:
 
 def nearest_level(wanted: DataFrame, levels: DataFrame) -> DataFrame:
     """slide, level whose resolution (mpp) is nearest to the wanted one; the first on ties."""
-    rows = levels.join(wanted, "slide")
+    # as many rows as there are slides: merged, which spills, and never broadcast, though their Parquet files look small
+    rows = levels.join(wanted.hint("merge"), "slide")
     return rows.groupBy("slide").agg(F.min(F.struct(F.abs(F.col("mpp") - F.col("want")), F.col("level"))).alias("m")).select("slide", F.col("m.level").alias("level"))
 
 
