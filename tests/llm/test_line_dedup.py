@@ -112,3 +112,11 @@ def test_lines_somewhat_below_the_threshold_are_ruled_out(spark):
     signed = line_dedup.signatures(spark.createDataFrame(list(enumerate(base + far)), "id bigint, line string").repartition("id"))
     pairs = spark.createDataFrame([(i, i + 40) for i in range(40)], "a bigint, b bigint")
     assert line_dedup.sides(pairs, signed).where(line_dedup.possible(0.8)("l_", "r_")).count() == 0
+
+
+def test_shingles_are_made_once(spark):
+    """Their rows come from a compiled explode, and no filter makes the array a second time."""
+    out = line_dedup.signatures(spark.createDataFrame([(1, "one line of text"), (2, "x"), (3, "another line of text")], "id long, line string"))
+    assert {r.id: r.w for r in out.collect()} == {1: 12, 2: 1, 3: 16}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "*(" in plan.split("Generate explode")[0].split("\n")[-1] and "size(" not in plan

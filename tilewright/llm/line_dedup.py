@@ -55,7 +55,8 @@ def signatures(texts: DataFrame) -> DataFrame:
     u = F.shiftrightunsigned(v, 31)  # its lowest bits are a place in the bitmap
     # every shingle falls on one of the band's 64 * HALVES places: with one long on any of its bits
     bit = lambda h: F.when(u.bitwiseAND(64 * (HALVES - 1)) == 64 * h, F.call_function("shiftleft", F.lit(1).cast("long"), u.bitwiseAND(63).cast("int")))
-    rows = texts.select("id", F.explode(shingles(F.col("line"))).alias("v")).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
+    # the array is a column first, so that explode is compiled (a lambda in it would keep it from that); outer, or Spark would filter by the array's size before and make it twice
+    rows = texts.select("id", shingles(F.col("line")).alias("vs")).select("id", F.explode_outer("vs").alias("v")).select("id", F.floor(place / ROWS).cast("int").alias("band"), (place % ROWS).alias("bin"), u.alias("u"), *[bit(h).alias(f"x{h}") for h in range(HALVES)])
     least = [F.min(F.when(F.col("bin") == k, F.col("u"))).alias(f"u{k}") for k in range(ROWS)]
     rows = rows.groupBy("id", "band").agg(F.count("*").alias("w"), *least, *[F.bit_xor(f"x{h}").alias(f"x{h}") for h in range(HALVES)])
     rows = rows.select("id", "band", "w", F.xxhash64("band", *[F.coalesce(f"u{k}", F.lit(-1)) for k in range(ROWS)]).alias("key"), *[f"x{h}" for h in range(HALVES)])
@@ -79,7 +80,7 @@ def possible(threshold: float):
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), pos, line (trimmed) and id (its hash) of every line that isn't blank."""
-    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"\S"))
     return rows.withColumn("id", F.xxhash64("line"))
 
@@ -114,7 +115,7 @@ def line_roots(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = lines.sparkSession
     signed = stored(signatures(different(lines)), "line-bands")
     release(spark)
-    buckets = star_buckets(signed.select(F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(BANDS)]))).alias("key"), "id"))
+    buckets = star_buckets(signed.select(F.explode_outer(F.array_compact(F.array(*[f"k{i}" for i in range(BANDS)]))).alias("key"), "id"))
     release(spark)
     wanted = buckets.select("id").distinct()
     traits = stored(signed.select("id", "w", *[f"b{i}" for i in range(BANDS * HALVES)]).join(wanted.hint("shuffle_hash"), "id", "left_semi"), "line-bits")
